@@ -1,3 +1,259 @@
-"""Queries by name."""
-QUERIES = {}
-ORACLES = {}
+"""Queries over the driver's tables, and the SQL that they must equal.
+
+`events` is the op log: sequence event_id + 1, key user_id:event_type, every fifth operation a
+delete. `orders` and `pages` give sorted runs. Bytes are shown as hex.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.functions.encoding import record, record_payload
+from keelson.functions.hashing import bit_positions, bits_per_key
+from keelson.operators import blocks, compaction, manifest, membership, state
+from keelson.operators.config import EngineConfig
+from keelson.operators.schema import utf8
+from keelson.sources import wal
+
+#: The filter that the membership queries use.
+FILTER_KEYS, FILTER_BITS, FILTER_HASHES = 800, 8000, 7
+
+
+def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    deleted = F.col("event_id") % 5 == 0
+    key = utf8(F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_type")))
+    return e.select((F.col("event_id") + 1).alias("seq"), F.when(deleted, 2).otherwise(1).cast("tinyint").alias("op"), key.alias("key"), F.when(~deleted, utf8(F.col("props"))).alias("value"))
+
+
+def shown(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.hex(n) for n in names})
+
+
+def live_range(spark, sf_dir):
+    return shown(state.live(state.latest(state.key_range(ops(spark, sf_dir), b"1", b"2"))), "key", "value")
+
+
+def latest_version(spark, sf_dir):
+    return shown(state.latest(ops(spark, sf_dir)), "key", "value")
+
+
+def range_scan(spark, sf_dir):
+    return shown(state.scan(state.latest(state.key_range(ops(spark, sf_dir), b"1", b"3"))), "key", "value")
+
+
+def snapshot_read(spark, sf_dir):
+    return shown(state.snapshot(ops(spark, sf_dir), 700), "key", "value")
+
+
+def point_get_tristate(spark, sf_dir):
+    probes = spark.range(200).select(utf8(F.concat(F.col("id").cast("string"), F.lit(":click"))).alias("key"))
+    return shown(state.get_many(ops(spark, sf_dir), probes), "key", "value")
+
+
+def state_counts(spark, sf_dir):
+    return state.counts(ops(spark, sf_dir))
+
+
+def size_running(spark, sf_dir):
+    return state.sizes(ops(spark, sf_dir))
+
+
+def first_full_seq(spark, sf_dir):
+    return state.first_full(ops(spark, sf_dir), 20_000)
+
+
+def log_offsets(spark, sf_dir):
+    return wal.offsets(ops(spark, sf_dir))
+
+
+def wal_payload_hex(spark, sf_dir):
+    return ops(spark, sf_dir).select("seq", F.hex(record_payload(F.col("op"), F.col("key"), F.col("value"))).alias("payload"))
+
+
+def wal_record_hex(spark, sf_dir):
+    return ops(spark, sf_dir).select("seq", F.hex(record(F.col("op"), F.col("key"), F.col("value"))).alias("record"))
+
+
+def wal_roundtrip(spark, sf_dir):
+    rows = wal.decode_column(wal.segments(ops(spark, sf_dir), 1000), "segment", "content")
+    return shown(rows.select((F.col("segment") * 1000 + F.col("pos") + 1).alias("seq"), F.col("op").cast("int").alias("op"), "key", "value", "status"), "key", "value")
+
+
+def wal_replay(spark, sf_dir):
+    rows = wal.decode_column(wal.segments(ops(spark, sf_dir), 1000), "segment", "content").withColumn("pos", F.col("segment") * 1000 + F.col("pos"))
+    return shown(state.latest(compaction.replay(rows)), "key", "value")
+
+
+def names(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", utf8(F.col("c_name")).alias("key"))
+
+
+def bloom_positions(spark, sf_dir):
+    positions = bit_positions(F.col("key"), FILTER_BITS, FILTER_HASHES)
+    return names(spark, sf_dir).select("c_custkey", F.posexplode(positions).alias("i", "bit_pos"))
+
+
+def bloom_probe(spark, sf_dir):
+    keys = names(spark, sf_dir)
+    member = membership.build(keys.where("c_custkey % 2 = 0"), FILTER_KEYS, 10)
+    return membership.probe(keys, member, FILTER_KEYS, 10).select("c_custkey", "may_contain")
+
+
+def bits_per_key_table(spark, sf_dir):
+    rates = spark.createDataFrame([(x,) for x in (0.5, 0.1, 0.05, 0.01, 0.001, 0.0001)], "rate double")
+    return rates.select("rate", bits_per_key(F.col("rate")).alias("bits"))
+
+
+def order_runs(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = utf8(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    return o.select(F.floor(F.col("o_custkey") / 100).alias("run"), key.alias("key"), utf8(F.col("o_orderstatus")).alias("value"))
+
+
+def run_zone_map(spark, sf_dir):
+    return shown(manifest.zone_map(order_runs(spark, sf_dir), "run"), "min_key", "max_key")
+
+
+def catalogue(spark, sf_dir):
+    return manifest.zone_map(order_runs(spark, sf_dir), "run").select(F.col("run").alias("id"), (F.col("run") % 3).cast("int").alias("level"), "size", "num_entries", "min_key", "max_key")
+
+
+def run_overlap(spark, sf_dir):
+    probes = spark.range(0, 20).select(F.col("id").alias("probe"), *(utf8(F.lpad((F.col("id") * 50 + d).cast("string"), 12, "0")).alias(n) for n, d in (("lo", 0), ("hi", 10))))
+    return manifest.overlaps(catalogue(spark, sf_dir), probes).select("id", "level", "probe")
+
+
+def level_listing(spark, sf_dir):
+    return shown(catalogue(spark, sf_dir).where("level = 1"), "min_key", "max_key")
+
+
+def run_removal(spark, sf_dir):
+    runs = catalogue(spark, sf_dir)
+    return shown(manifest.without(runs, runs.where("id % 4 = 0")), "min_key", "max_key")
+
+
+def level_capacity(spark, sf_dir):
+    levels = spark.range(5).select(F.col("id").alias("level"))
+    return levels.select("level", EngineConfig().level_capacity(F.col("level")).alias("capacity"))
+
+
+def page_runs(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select(F.floor(F.col("page_id") / 100).alias("run"), utf8(F.concat_ws("#", "url", F.lpad(F.col("page_id").cast("string"), 9, "0"))).alias("key"), utf8(F.substring(F.col("html"), 1, 300)).alias("value"), "page_id")
+
+
+def block_pack(spark, sf_dir):
+    return shown(blocks.pack(page_runs(spark, sf_dir)).drop("bytes"), "first_key", "last_key")
+
+
+def block_scan(spark, sf_dir):
+    return shown(blocks.unpack(blocks.pack(page_runs(spark, sf_dir))).select("run", "key", "value"), "key", "value")
+
+
+def block_lookup(spark, sf_dir):
+    rows = page_runs(spark, sf_dir)
+    here = rows.where("page_id % 3 = 0").select("run", "key")
+    missing = rows.where("page_id % 3 = 1").select("run", F.concat("key", F.lit(b"!")).alias("key"))
+    return shown(blocks.lookup(blocks.pack(rows), here.unionByName(missing)), "key", "value")
+
+
+def merge_read(spark, sf_dir):
+    rows = ops(spark, sf_dir)
+    return shown(compaction.merge_read([state.latest(rows.where(F.col("seq") % 4 == k)) for k in range(4)]), "key", "value")
+
+
+def compact_bottom(spark, sf_dir):
+    """A merge into the bottom level, where tombstones go."""
+    rows = ops(spark, sf_dir)
+    return shown(state.live(compaction.merge_read([state.latest(rows.where(F.col("seq") <= 500)), state.latest(rows.where(F.col("seq") > 500))])), "key", "value")
+
+
+_all = (live_range, latest_version, range_scan, snapshot_read, point_get_tristate, state_counts, size_running, first_full_seq, log_offsets, wal_payload_hex, wal_record_hex, wal_roundtrip, wal_replay, bloom_positions, bloom_probe, bits_per_key_table, run_zone_map, run_overlap, level_listing, run_removal, level_capacity, block_pack, block_scan, block_lookup, merge_read, compact_bottom)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _all}
+
+OPS = """ops AS (
+  SELECT event_id + 1 AS seq, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS op,
+         encode(user_id::VARCHAR || ':' || event_type) AS key,
+         CASE WHEN event_id % 5 <> 0 THEN encode(props) END AS value
+  FROM events)"""
+LATEST = f"{OPS}, latest AS (SELECT key, arg_max_null(value, seq) AS value, max(seq) AS seq FROM ops GROUP BY key)"
+SHOWN = "hex(key) AS key, hex(value) AS value"
+LE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
+KLEN, VLEN = (LE.format(f"printf('%08X', {x})") for x in ("octet_length(key)", "coalesce(octet_length(value), 0)"))
+NAMES = """h AS (
+  SELECT c_custkey, list_transform(string_split(c_name, ''), lambda x: ord(x)::HUGEINT) AS b FROM customer),
+k AS (
+  SELECT c_custkey,
+    list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616) AS h1,
+    list_reduce(list_prepend(11400714819323198485::HUGEINT, b), lambda a, x: ((a * 32) % 18446744073709551616 + a // 576460752303423488 + x) % 18446744073709551616) AS h2
+  FROM h),
+p AS (
+  SELECT c_custkey, i::INT AS i, (((h1 + i * (CASE WHEN h2 = 0 THEN 1 ELSE h2 END)) % 18446744073709551616) % 8000)::BIGINT AS bit_pos
+  FROM k, range(7) AS r(i))"""
+RUNS = """runs AS (
+  SELECT o_custkey // 100 AS run, encode(lpad(o_orderkey::VARCHAR, 12, '0')) AS key, encode(o_orderstatus) AS value FROM orders),
+zones AS (
+  SELECT run, count(*) AS num_entries, sum(octet_length(key) + octet_length(value))::BIGINT AS size, min(key) AS min_key, max(key) AS max_key
+  FROM runs GROUP BY run),
+cat AS (SELECT run AS id, (run % 3)::INT AS level, size, num_entries, min_key, max_key FROM zones)"""
+BOUNDS = "hex(min_key) AS min_key, hex(max_key) AS max_key"
+PAGES = """rows AS (
+  SELECT page_id // 100 AS run, page_id, encode(concat_ws('#', url, lpad(page_id::VARCHAR, 9, '0'))) AS key, encode(substr(html, 1, 300)) AS value
+  FROM pages)"""
+SIZE = """d AS (
+  SELECT *, row_number() OVER w AS rn, lag(octet_length(value)) OVER w AS pl FROM ops WINDOW w AS (PARTITION BY key ORDER BY seq)),
+s AS (
+  SELECT seq, sum(CASE WHEN rn = 1 THEN octet_length(key) + coalesce(octet_length(value), 0) + 24
+                       ELSE greatest(0, coalesce(octet_length(value), 0) - coalesce(pl, 0)) END)
+         OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS size FROM d)"""
+
+ORACLES: dict[str, str] = {
+    "live_range": f"WITH {LATEST} SELECT {SHOWN}, seq FROM latest WHERE value IS NOT NULL AND key >= encode('1') AND key < encode('2')",
+    "latest_version": f"WITH {LATEST} SELECT {SHOWN}, seq FROM latest",
+    "range_scan": f"WITH {LATEST} SELECT {SHOWN}, seq FROM latest WHERE key >= encode('1') AND key < encode('3')",
+    "snapshot_read": f"WITH {OPS} SELECT hex(key) AS key, hex(arg_max_null(value, seq)) AS value, max(seq) AS seq FROM ops WHERE seq <= 700 GROUP BY ops.key",
+    "point_get_tristate": f"""WITH {LATEST}, probes AS (SELECT encode(i::VARCHAR || ':click') AS key FROM range(200) AS r(i))
+SELECT hex(p.key) AS key, CASE WHEN l.seq IS NULL THEN 'absent' WHEN l.value IS NULL THEN 'tombstone' ELSE 'live' END AS state, hex(l.value) AS value, l.seq
+FROM probes p LEFT JOIN latest l ON p.key = l.key""",
+    "state_counts": f"WITH {LATEST} SELECT count(*) AS len, coalesce(max(seq), 0) AS seq_num, count(value) AS live, count(*) - count(value) AS tombstones, count(*) = 0 AS is_empty FROM latest",
+    "size_running": f"WITH {OPS}, {SIZE} SELECT seq, size FROM s",
+    "first_full_seq": f"WITH {OPS}, {SIZE} SELECT min(seq) AS first_full_seq FROM s WHERE size >= 20000",
+    "log_offsets": f"WITH {OPS} SELECT seq, sum(17 + octet_length(key) + coalesce(octet_length(value), 0)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS \"offset\" FROM ops",
+    "wal_payload_hex": f"WITH {OPS} SELECT seq, printf('%02X', op) || {KLEN} || {VLEN} || hex(key) || coalesce(hex(value), '') AS payload FROM ops",
+    "wal_roundtrip": f"WITH {OPS} SELECT seq, op, {SHOWN}, 'ok' AS status FROM ops",
+    "wal_replay": f"WITH {LATEST} SELECT {SHOWN}, seq FROM latest",
+    "bloom_positions": f"WITH {NAMES} SELECT c_custkey, i, bit_pos FROM p",
+    "bloom_probe": f"WITH {NAMES}, m AS (SELECT DISTINCT bit_pos FROM p WHERE c_custkey % 2 = 0) SELECT c_custkey, bool_and(m.bit_pos IS NOT NULL) AS may_contain FROM p LEFT JOIN m ON p.bit_pos = m.bit_pos GROUP BY c_custkey",
+    "bits_per_key_table": "SELECT rate::DOUBLE AS rate, ceil(-ln(rate::DOUBLE) / pow(ln(2::DOUBLE), 2))::BIGINT AS bits FROM (VALUES (0.5), (0.1), (0.05), (0.01), (0.001), (0.0001)) AS r(rate)",
+    "run_zone_map": f"WITH {RUNS} SELECT run, num_entries, size, {BOUNDS} FROM zones",
+    "run_overlap": f"""WITH {RUNS}, probes AS (
+  SELECT i AS probe, encode(lpad((i * 50)::VARCHAR, 12, '0')) AS lo, encode(lpad((i * 50 + 10)::VARCHAR, 12, '0')) AS hi FROM range(20) AS r(i))
+SELECT id, level, probe FROM cat JOIN probes ON NOT (max_key < lo OR min_key > hi)""",
+    "level_listing": f"WITH {RUNS} SELECT id, level, size, num_entries, {BOUNDS} FROM cat WHERE level = 1",
+    "run_removal": f"WITH {RUNS} SELECT id, level, size, num_entries, {BOUNDS} FROM cat WHERE NOT EXISTS (SELECT 1 FROM cat x WHERE x.id % 4 = 0 AND x.id = cat.id AND x.level = cat.level)",
+    "level_capacity": "SELECT i AS level, (4194304 * CASE WHEN i = 0 THEN 3 ELSE pow(10, i) END)::BIGINT AS capacity FROM range(5) AS r(i)",
+    "block_pack": f"""WITH RECURSIVE {PAGES},
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY key) AS rn, 8 + octet_length(key) + octet_length(value) AS sz FROM rows),
+f AS (
+  SELECT run, rn, 0 AS block, sz AS used, 1 AS restarts, 1 AS since FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.run, n.rn, CASE WHEN f.used + sz + 4 * (f.restarts + 1) + 4 <= 4096 THEN block ELSE block + 1 END,
+         CASE WHEN f.used + sz + 4 * (f.restarts + 1) + 4 <= 4096 THEN f.used + sz ELSE sz END,
+         CASE WHEN f.used + sz + 4 * (f.restarts + 1) + 4 <= 4096 THEN f.restarts + (f.since = 16)::INT ELSE 1 END,
+         CASE WHEN f.used + sz + 4 * (f.restarts + 1) + 4 <= 4096 AND f.since < 16 THEN f.since + 1 ELSE 1 END
+  FROM f JOIN n ON n.run = f.run AND n.rn = f.rn + 1)
+SELECT f.run, f.block::INT AS block, count(*) AS entries, max(f.restarts)::BIGINT AS restarts, (max(f.used) + 4 * max(f.restarts) + 4)::BIGINT AS size,
+       hex(min(n.key)) AS first_key, hex(max(n.key)) AS last_key
+FROM f JOIN n ON f.run = n.run AND f.rn = n.rn GROUP BY f.run, f.block""",
+    "block_scan": f"WITH {PAGES} SELECT run, {SHOWN} FROM rows",
+    "block_lookup": f"""WITH {PAGES}
+SELECT run, hex(key) AS key, true AS found, hex(value) AS value FROM rows WHERE page_id % 3 = 0
+UNION ALL SELECT run, hex(key) || '21', false, NULL FROM rows WHERE page_id % 3 = 1""",
+    "merge_read": f"WITH {LATEST} SELECT {SHOWN}, seq FROM latest",
+    "compact_bottom": f"WITH {LATEST} SELECT {SHOWN}, seq FROM latest WHERE value IS NOT NULL",
+}
