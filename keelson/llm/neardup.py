@@ -10,10 +10,10 @@ No group emits its pairs. First each node is verified against one other of its b
 it shares most of them with as their least node; links found join nodes into components. Then only
 buckets that still hold several components matter: nodes outside a bucket's largest component are
 compared with the bucket's nodes of other components by sketch, in blocks of bounded size, and
-likely links are verified: the best for each component first, then all that are left between
-different components. A link between nodes of one component can't change the result. A candidate
-pair is passed over only if its sketches agree in so few coordinates that a link's chance is
-below 1e-8, or if the sizes of the sets exclude it.
+likely ones, most alike first, on their sets of 32-bit hashes, until a link joins the components.
+Only links leave that step, fewer than the bucket has components, to be verified on the full sets. A link between nodes of one component can't change the result. A candidate pair is passed
+over only if its sketches agree in so few coordinates that a link's chance is below 1e-8, or if the
+sizes of the sets exclude it.
 
 Links are verified on the full sets. Nulls: a row with a null id is linked with nothing, its
 component is null and it is kept; a null text has an empty set. Equal ids share nothing but their
@@ -96,7 +96,10 @@ def describe(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, width: int, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of nodes (node, label): from the texts of the rows whose ids are the labels."""
+    """(node, shingles, short) of nodes (node, label): from the texts of the rows whose ids are the labels.
+
+    short: the same set as sorted 32-bit hashes.
+    """
     wanted = nodes.select(F.col("label").alias("__label"), F.col("node").alias("__node"))
     texts = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("__bytes")).join(wanted, F.col("id") == F.col("__label"))
 
@@ -108,9 +111,10 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, width: int, nodes: Data
             own = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in parts]
             # An id that occurs with several texts: only the one of the node.
             keep = pa.array(np.array(own, np.int64) == np.asarray(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(parts, pa.binary())], names=["node", "shingles"]).filter(keep)
+            short = [np.unique(values[x:y].astype(np.uint32)).tobytes() for x, y in zip(place[:-1], place[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(parts, pa.binary()), pa.array(short, pa.binary())], names=["node", "shingles", "short"]).filter(keep)
 
-    return texts.select("__bytes", "__node").mapInArrow(run, "node long, shingles binary")
+    return texts.select("__bytes", "__node").mapInArrow(run, "node long, shingles binary, short binary")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -151,47 +155,75 @@ def components(edges: DataFrame, tables: Tables, label: str) -> DataFrame:
         now = tables.keep(small, f"{label}-{k}")
 
 
-def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, every: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sketches agree enough.
+def links_of(mine: np.ndarray, size: int, sets_: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, bool]]:
+    """Which of some sets, in their order, link with one, and whether for sure: the first of each component, and before it what is too close to tell.
 
-    every: all such pairs; else for each node the best one in each other component it meets.
+    size, sizes: the sets' true numbers of elements, as 32-bit hashes may coincide.
     """
+    found, done = [], set()
+    for at in range(0, len(sets_), 64):
+        some = [k for k in range(at, min(len(sets_), at + 64)) if component[k] not in done]
+        if not some:
+            continue
+        place = np.cumsum([0, *(len(sets_[k]) for k in some)])
+        every = np.concatenate([sets_[k] for k in some])
+        same = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        inter = np.add.reduceat(mine[same] == every, place[:-1])
+        true = sizes[some]
+        # Elements whose hashes coincide within a set are lost to the count; coincidences between sets add to it.
+        lost = size - len(mine) + true - np.diff(place)
+        union = size + true - inter
+        maybe = 100 * (inter + lost) >= percent * (union - lost)
+        sure = 100 * (inter - 1) >= percent * (union + 1)
+        for k in np.flatnonzero(maybe):
+            if component[some[k]] not in done:
+                found.append((some[k], bool(sure[k])))
+                if sure[k]:
+                    done.add(component[some[k]])
+    return found
+
+
+def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that link: enough to join all components of a bucket that any of its candidate pairs would join."""
     known = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     active = by.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     active = active.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("chunks"))
-    rows = known.join(active, "bucket").join(nodes.select("node", "n", "sketch"), "node")
+    rows = known.join(active, "bucket").join(nodes.select("node", "n", "sketch", "short"), "node")
     spread = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     number = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    out = ["bucket", "block", "chunk", "asks", "node", "component", "n", "sketch"]
-    there = rows.withColumns({"block": spread("blocks"), "chunk": number("chunks"), "asks": F.lit(False)}).select(out)
-    asking = rows.where("component <> main").withColumns({"block": number("blocks"), "chunk": spread("chunks"), "asks": F.lit(True)}).select(out)
+    # With one block and one chunk, as nearly always, a bucket's rows go out once: who asks is also there.
+    single = rows.where("blocks = 1 and chunks = 1").withColumns({"block": F.lit(0), "chunk": F.lit(0), "asks": F.col("component") != F.col("main"), "there": F.lit(True)})
+    large = rows.where("blocks > 1 or chunks > 1")
+    there = large.withColumns({"block": spread("blocks"), "chunk": number("chunks"), "asks": F.lit(False), "there": F.lit(True)})
+    asking = large.where("component <> main").withColumns({"block": number("blocks"), "chunk": spread("chunks"), "asks": F.lit(True), "there": F.lit(False)})
+    out = ["bucket", "block", "chunk", "asks", "there", "node", "component", "n", "sketch", "short"]
 
     def run(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table.column("asks").to_numpy(), bool)
         node, comp, n = (table.column(x).to_numpy() for x in ("node", "component", "n"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        ask, have = np.flatnonzero(asks), np.flatnonzero(~asks)
+        short = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
+        ask, have = (np.flatnonzero(table.column(x).to_numpy()) for x in ("asks", "there"))
         a, b = [], []
+        # Components as they grow in this bucket; a link within one can't change anything.
+        comp = np.unique(comp, return_inverse=True)[1]
+        root = np.arange(len(comp))
         h_sketch, h_comp, h_n = sketch[have], comp[have], n[have]
         for i in ask:
-            fit = np.flatnonzero((h_comp != comp[i]) & (100 * np.minimum(h_n, n[i]) >= percent * np.maximum(h_n, n[i])))
-            if not len(fit):
-                continue
+            fit = np.flatnonzero((root[h_comp] != root[comp[i]]) & (100 * np.minimum(h_n, n[i]) >= percent * np.maximum(h_n, n[i])))
             agree = (h_sketch[fit] == sketch[i]).sum(axis=1)
             likely = agree >= LEAST_AGREEMENT * COORDINATES
-            fit, agree = fit[likely], agree[likely]
-            if not every and len(fit):
-                order = np.lexsort((node[have[fit]], -agree, h_comp[fit]))
-                first = np.ones(len(fit), bool)
-                first[1:] = h_comp[fit][order][1:] != h_comp[fit][order][:-1]
-                fit = fit[order[first]]
-            a += [node[i]] * len(fit)
-            b += node[have[fit]].tolist()
+            fit = fit[likely][np.argsort(-agree[likely], kind="stable")]
+            for k, sure in links_of(short[i], int(n[i]), [short[have[f]] for f in fit], h_n[fit], root[h_comp[fit]], percent):
+                a.append(node[i])
+                b.append(node[have[fit[k]]])
+                if sure:
+                    root[root == root[h_comp[fit[k]]]] = root[comp[i]]
         x, y = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    return there.unionByName(asking).groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long").distinct()
+    every = single.select(out).unionByName(there.select(out)).unionByName(asking.select(out))
+    return every.groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, tables: Tables | None = None) -> DataFrame:
@@ -213,10 +245,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = members.where("node <> least").groupBy("node", "least").count().groupBy("node").agg(F.max(F.struct("count", "least")).alias("m")).select(F.col("node").alias("a"), F.col("m.least").alias("b"))
     links = tables.keep(verified(star, shingles, percent), "links-0")
     component = components(links, tables, "star")
-    for k, every in enumerate((False, True), 1):
-        pairs = crossing(members.select("bucket", "node"), detail, component, every, percent)
-        links = links.unionByName(tables.keep(verified(pairs, shingles, percent), f"links-{k}"))
-        component = components(links, tables, f"round-{k}")
+    pairs = crossing(members.select("bucket", "node"), detail.join(shingles.select("node", "short"), "node"), component, percent)
+    links = links.unionByName(tables.keep(verified(pairs, shingles, percent), "links-1"))
+    component = components(links, tables, "all")
     grouped = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("label").alias("component_id"))
     final = tables.keep(grouped.join(least, "component").select("node", "component_id"), "final")
