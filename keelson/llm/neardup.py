@@ -33,13 +33,20 @@ from pyspark.sql import functions as F
 from keelson.llm.common import extended, Tables, text_bytes
 from keelson.llm.textvec import U64, buffers, mix, slices, unique_sets, window_hashes, word_hashes
 
-COORDINATES, ROWS = 256, 8
-BANDS = COORDINATES // ROWS
+COORDINATES = 256
+#: Bands have as many rows as keep the chance of missing a link at the threshold under this.
+MISSED = 1e-4
 #: Nodes of one block of a bucket, and the share of agreeing coordinates under which a pair isn't verified.
 BLOCK, LEAST_AGREEMENT = 4096, 0.72
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
+def rows_of_band(percent: int) -> int:
+    """Coordinates of a band: 8 at 85 percent, 6 at 80."""
+    j = min(percent, 99) / 100
+    return max(r for r in range(1, 33) if r == 1 or (1 - j**r) ** (COORDINATES // r) <= MISSED)
+
+
 def sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles as sorted hashes, and the places."""
     data, offs = buffers(column)
@@ -73,22 +80,23 @@ def sketches(values: np.ndarray, place: np.ndarray, t: int = COORDINATES) -> np.
     return out
 
 
-def describe(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def describe(df: DataFrame, id_col: str, text_col: str, width: int, rows: int) -> DataFrame:
     """(id, n, node, bands, sketch): node is a hash of the whole set, null without shingles or id."""
     schema = extended(df.select(F.col(id_col).alias("id")).schema, n="bigint", node="bigint", bands="array<bigint>", sketch="binary")
+    bands = COORDINATES // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__bytes", 1 << 20):
             values, place = sets(b.column(1), width)
             size = np.diff(place)
             sketch = sketches(values, place)
-            keys = np.full((len(size), BANDS), 0, U64) + np.arange(BANDS, dtype=U64)
-            for r in range(ROWS):
-                keys = mix(keys * U64(0x100000001B3) + sketch.reshape(len(size), BANDS, ROWS)[:, :, r])
+            keys = np.full((len(size), bands), 0, U64) + np.arange(bands, dtype=U64)
+            for r in range(rows):
+                keys = mix(keys * U64(0x100000001B3) + sketch[:, : bands * rows].reshape(len(size), bands, rows)[:, :, r])
             raw = values.tobytes()
             node = [int.from_bytes(hashlib.blake2b(raw[8 * x : 8 * y], digest_size=8).digest(), "little", signed=True) for x, y in zip(place[:-1], place[1:], strict=True)]
             none = (size == 0) | np.asarray(b.column(0).is_null())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
             low = np.ascontiguousarray((sketch & U64(0xFF)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(np.array(node, np.int64), mask=none), lists, pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "n", "node", "bands", "sketch"])
 
@@ -232,7 +240,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id reachable over links, kept is true for it alone.
     """
     tables = tables or Tables(df.sparkSession, "neardup")
-    rows = tables.keep(describe(df, id_col, text_col, width), "rows")
+    rows = tables.keep(describe(df, id_col, text_col, width, rows_of_band(percent)), "rows")
     known = rows.where("node is not null")
     # One row for each different set; sums before the shuffle take care of sets that many rows share.
     nodes = tables.keep(known.groupBy("node").agg(F.min("id").alias("label")), "nodes")

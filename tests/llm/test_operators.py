@@ -366,7 +366,8 @@ def test_sketches_fill_and_estimate():
     assert abs((s[0] == s[1]).mean() - 900 / 1100) < 0.1
 
 
-def test_families_of_near_copies(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_families_of_near_copies(spark, percent):
     """Chains and stars of copies with a few words changed, against all pairs."""
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(400)]
@@ -379,7 +380,7 @@ def test_families_of_near_copies(spark):
         if k % 40 == 39:
             base = own
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = by_id(neardup.near_duplicates(df, width=3, percent=85))
+    got = by_id(neardup.near_duplicates(df, width=3, percent=percent))
     sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for _, t in rows]
     parent = list(range(150))
 
@@ -390,7 +391,7 @@ def test_families_of_near_copies(spark):
 
     for a in range(150):
         for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert [got[k]["component_id"] for k in range(150)] == [find(k) for k in range(150)]
