@@ -23,6 +23,7 @@ number. Empty tables give empty ones.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ from keelson.llm.textvec import U64, buffers, mix, slices, unique_sets, window_h
 COORDINATES = 256
 #: Bands have as many rows as keep the chance of missing a link at the threshold under this.
 MISSED = 1e-4
-#: Nodes of one block of a bucket, and the share of agreeing coordinates under which a pair isn't verified.
-BLOCK, LEAST_AGREEMENT = 4096, 0.72
+#: Nodes of one block of a bucket, and the chance with which a link's sketches may agree too rarely to be verified.
+BLOCK, UNLIKELY = 4096, 1e-8
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -47,6 +48,16 @@ def rows_of_band(percent: int) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - j**r) ** (COORDINATES // r) <= MISSED)
 
 
+def least_agreement(percent: int) -> int:
+    """Agreeing coordinates under which a pair isn't verified: 182 at 85 percent, 166 at 80."""
+    j, sum_ = min(percent, 99) / 100, 0.0
+    for k in range(COORDINATES + 1):
+        sum_ += math.comb(COORDINATES, k) * j**k * (1 - j) ** (COORDINATES - k)
+        if sum_ > UNLIKELY:
+            return k
+    return COORDINATES
+
+
 def sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles as sorted hashes, and the places."""
     data, offs = buffers(column)
@@ -207,6 +218,8 @@ def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, percent
     asking = large.where("component <> main").withColumns({"block": number("blocks"), "chunk": spread("chunks"), "asks": F.lit(True), "there": F.lit(False)})
     out = ["bucket", "block", "chunk", "asks", "there", "node", "component", "n", "sketch", "short"]
 
+    least = least_agreement(percent)
+
     def run(table: pa.Table) -> pa.Table:
         node, comp, n = (table.column(x).to_numpy() for x in ("node", "component", "n"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
@@ -220,7 +233,7 @@ def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, percent
         for i in ask:
             fit = np.flatnonzero((root[h_comp] != root[comp[i]]) & (100 * np.minimum(h_n, n[i]) >= percent * np.maximum(h_n, n[i])))
             agree = (h_sketch[fit] == sketch[i]).sum(axis=1)
-            likely = agree >= LEAST_AGREEMENT * COORDINATES
+            likely = agree >= least
             fit = fit[likely][np.argsort(-agree[likely], kind="stable")]
             for k, sure in links_of(short[i], int(n[i]), [short[have[f]] for f in fit], h_n[fit], root[h_comp[fit]], percent):
                 a.append(node[i])
