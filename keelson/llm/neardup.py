@@ -11,7 +11,9 @@ it shares most of them with as their least node; links found join nodes into com
 buckets that still hold several components matter: nodes outside a bucket's largest component are
 compared with the bucket's nodes of other components by sketch, in blocks of bounded size, and
 likely ones, most alike first, on their sets of 32-bit hashes, until a link joins the components.
-Only links leave that step, fewer than the bucket has components, to be verified on the full sets. A link between nodes of one component can't change the result. A candidate pair is passed
+A pair is compared in one direction and in the first bucket that both share only. Only links leave
+that step, to be verified on the full sets. A link between nodes of one component can't change the
+result. A candidate pair is passed
 over only if its sketches agree in so few coordinates that a link's chance is below 1e-8, or if the
 sizes of the sets exclude it.
 
@@ -208,15 +210,17 @@ def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, percent
     by = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     active = by.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     active = active.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("chunks"))
-    rows = known.join(active, "bucket").join(nodes.select("node", "n", "sketch", "short"), "node")
+    rows = known.join(active, "bucket").join(nodes.select("node", "n", "sketch", "bands", "short"), "node")
+    # A node's buckets of the bands before this one: pairs that share one of those meet there.
+    rows = rows.withColumn("earlier", F.expr("slice(bands, 1, cast(array_position(bands, bucket) - 1 as int))")).withColumn("outside", F.col("component") != F.col("main"))
     spread = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     number = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     # With one block and one chunk, as nearly always, a bucket's rows go out once: who asks is also there.
-    single = rows.where("blocks = 1 and chunks = 1").withColumns({"block": F.lit(0), "chunk": F.lit(0), "asks": F.col("component") != F.col("main"), "there": F.lit(True)})
+    single = rows.where("blocks = 1 and chunks = 1").withColumns({"block": F.lit(0), "chunk": F.lit(0), "asks": F.col("outside"), "there": F.lit(True)})
     large = rows.where("blocks > 1 or chunks > 1")
     there = large.withColumns({"block": spread("blocks"), "chunk": number("chunks"), "asks": F.lit(False), "there": F.lit(True)})
-    asking = large.where("component <> main").withColumns({"block": number("blocks"), "chunk": spread("chunks"), "asks": F.lit(True), "there": F.lit(False)})
-    out = ["bucket", "block", "chunk", "asks", "there", "node", "component", "n", "sketch", "short"]
+    asking = large.where("outside").withColumns({"block": number("blocks"), "chunk": spread("chunks"), "asks": F.lit(True), "there": F.lit(False)})
+    out = ["bucket", "block", "chunk", "asks", "there", "outside", "node", "component", "n", "sketch", "earlier", "short"]
 
     least = least_agreement(percent)
 
@@ -224,14 +228,22 @@ def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, percent
         node, comp, n = (table.column(x).to_numpy() for x in ("node", "component", "n"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         short = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
+        outside = table.column("outside").to_numpy()
+        # All have as many, unless the keys of two bands coincide.
+        earlier = table.column("earlier").to_pylist()
+        same = min(map(len, earlier))
+        earlier = np.array([x[:same] for x in earlier], np.int64).reshape(len(node), same)
         ask, have = (np.flatnonzero(table.column(x).to_numpy()) for x in ("asks", "there"))
         a, b = [], []
         # Components as they grow in this bucket; a link within one can't change anything.
         comp = np.unique(comp, return_inverse=True)[1]
         root = np.arange(len(comp))
-        h_sketch, h_comp, h_n = sketch[have], comp[have], n[have]
+        h_sketch, h_comp, h_n, h_earlier = sketch[have], comp[have], n[have], earlier[have]
+        # Of two nodes that both ask, the greater one does.
+        h_node = np.where(outside[have], node[have], np.iinfo(np.int64).min)
         for i in ask:
-            fit = np.flatnonzero((root[h_comp] != root[comp[i]]) & (100 * np.minimum(h_n, n[i]) >= percent * np.maximum(h_n, n[i])))
+            fit = np.flatnonzero((root[h_comp] != root[comp[i]]) & (h_node < node[i]) & (100 * np.minimum(h_n, n[i]) >= percent * np.maximum(h_n, n[i])))
+            fit = fit[~(h_earlier[fit] == earlier[i]).any(axis=1)]
             agree = (h_sketch[fit] == sketch[i]).sum(axis=1)
             likely = agree >= least
             fit = fit[likely][np.argsort(-agree[likely], kind="stable")]
@@ -261,7 +273,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     members = tables.keep(bands.join(shared.select("bucket", "least"), "bucket"), "members")
     candidate = members.select("node").distinct()
-    detail = tables.keep(known.join(candidate, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "detail")
+    detail = tables.keep(known.join(candidate, "node", "left_semi").select("node", "n", "sketch", "bands").dropDuplicates(["node"]), "detail")
     shingles = tables.keep(full_sets(df, id_col, text_col, width, nodes.join(candidate, "node", "left_semi")), "shingles")
     star = members.where("node <> least").groupBy("node", "least").count().groupBy("node").agg(F.max(F.struct("count", "least")).alias("m")).select(F.col("node").alias("a"), F.col("m.least").alias("b"))
     links = tables.keep(verified(star, shingles, percent), "links-0")
