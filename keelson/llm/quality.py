@@ -67,18 +67,17 @@ def occurrences(data: np.ndarray, offs: np.ndarray, bits: int = BUCKET_BITS) ->
     return out, first
 
 
-def train(rows: list[tuple[np.ndarray, int]], bits: int = BUCKET_BITS, passes: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-5, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias by FTRL-proximal on (feature buckets, label)."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BUCKET_BITS, passes: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-5, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias by FTRL-proximal on (different feature buckets, occurrences of each, label)."""
     size = (1 << bits) + 1  # the last is the bias
-    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    examples = []
-    for at, label in rows:
-        index, count = np.unique(at, return_counts=True)
-        examples.append((np.append(index.astype(np.int64), size - 1), np.append(count / max(1, len(at)) * SCALE, 1.0), float(label)))
+    z, n = np.zeros(size), np.zeros(size)
     order = np.random.default_rng(seed)
     for _ in range(passes):
-        for k in order.permutation(len(examples)):
-            index, value, label = examples[k]
+        for k in order.permutation(len(rows)):
+            # Rows stay as small as they came: shares are worked out anew each time.
+            some, count, label = rows[k]
+            index = np.append(some.astype(np.int64), size - 1)
+            value = np.append(count / max(1, int(count.sum())) * SCALE, 1.0)
             zi, ni = z[index], n[index]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(wi @ value, -30, 30)))
@@ -102,14 +101,16 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for b in slices(batches, "__bytes", 2 << 20):
             data, offs = buffers(b.column(1))
             at, first = occurrences(data, offs)
-            packed = [at[x:y].astype("<u4").tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(packed, pa.binary()), b.column(2)], names=["id", "features", "label"])
+            sums = [np.unique(at[x:y], return_counts=True) for x, y in zip(first[:-1], first[1:], strict=True)]
+            features, counts = (pa.array([x[k].astype("<u4").tobytes() for x in sums], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), features, counts, b.column(2)], names=["id", "features", "counts", "label"])
 
-    got = rows.select(id_col, "__bytes", "__label").mapInArrow(featurise, "id string, features binary, label int").collect()
-    got = sorted(got, key=lambda r: (r.id, r.label, bytes(r.features)))
-    if not got:
+    got = rows.select(id_col, "__bytes", "__label").mapInArrow(featurise, "id string, features binary, counts binary, label int").toArrow().combine_chunks()
+    order = sorted(range(got.num_rows), key=lambda k: (got["id"][k].as_py(), got["label"][k].as_py(), got["features"][k].as_py(), got["counts"][k].as_py()))
+    if not order:
         return np.zeros(1 << BUCKET_BITS, np.float32), 0.0
-    return train([(np.frombuffer(r.features, "<u4"), r.label) for r in got])
+    part = lambda name, k: np.frombuffer(got[name][k].as_buffer(), "<u4")
+    return train([(part("features", k), part("counts", k), got["label"][k].as_py()) for k in order])
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
