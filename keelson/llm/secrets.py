@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.llm.common import Tables
 
@@ -38,6 +39,9 @@ KINDS = [*STRONG, *WEAK]
 #: For each role, the roles that complement it.
 COMPLEMENT = {"id": ["secret"], "secret": ["id", "endpoint"], "endpoint": ["secret"]}
 REACH = 200
+#: Rows of equal texts are joined to the text's links in so many tasks.
+SALTS = 16
+HASHED = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DatetimeType)
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -97,6 +101,24 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return hits.groupBy("key").agg(F.collect_set("p").alias("spans"))
 
 
+def atomic(df: DataFrame) -> list[str]:
+    """Columns that can be hashed whatever they hold."""
+    return [f.name for f in df.schema if isinstance(f.dataType, HASHED)]
+
+
+def with_links(found: DataFrame, links: DataFrame, key: str, weak: str, spread: list[str]) -> DataFrame:
+    """found with `__linked`, its text's linked spans or null, from (key, spans) rows, one for each text.
+
+    Rows without a weak candidate have none, so they aren't joined or shuffled. The others, of which
+    many may share a text, are salted by a hash of the columns `spread`.
+    """
+    none = found.where(F.size(weak) == 0).withColumn("__linked", F.lit(None).cast(SPAN))
+    some = found.where(F.size(weak) > 0).withColumn("__salt", F.pmod(F.xxhash64(F.lit(0), *spread), F.lit(SALTS)).cast("int"))
+    each = links.select(F.col("key").alias("__of"), F.col("spans").alias("__linked"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__at"))
+    joined = some.join(each, (F.col(key) == F.col("__of")) & (F.col("__salt") == F.col("__at")), "left")
+    return joined.select(*found.columns, "__linked").unionByName(none)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), reach: int = REACH) -> DataFrame:
     """(id, *keep, assign, access, hex, linked): arrays of spans (start, rank, kind, end) of each row's whole text."""
     found = Tables(df.sparkSession, "secrets").keep(candidates(df, text_col, [id_col, *keep]).drop("__text"), "spans")
@@ -105,11 +127,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tu
 
 def attach(found: DataFrame, keep: list[str], reach: int = REACH) -> DataFrame:
     strong = F.concat(*(F.col(f"__{k}") for k in STRONG))
-    links = linked(found.select("key", "weak", strong.alias("strong")), reach).withColumnRenamed("key", "__key")
+    links = linked(found.select("key", "weak", strong.alias("strong")), reach)
     # A candidate within a strong span is already reported.
     covered = lambda x: F.exists(strong, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    weak = F.filter(F.coalesce("spans", F.array().cast(SPAN)), lambda x: ~covered(x))
-    return found.join(links, F.col("key") == F.col("__key"), "left").select(*keep, *(F.col(f"__{k}").alias(k) for k in STRONG), weak.alias("linked"))
+    weak = F.filter(F.coalesce("__linked", F.array().cast(SPAN)), lambda x: ~covered(x))
+    return with_links(found, links, "key", "weak", atomic(found.select(*keep))).select(*keep, *(F.col(f"__{k}").alias(k) for k in STRONG), weak.alias("linked"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -130,7 +152,7 @@ def redacted(df: DataFrame, mark: str, text_col: str = "text", count_col: str =
     weak = [spans_of(F.coalesce(text, F.lit("")), k, *v[:3]) for k, v in WEAK.items()]
     found = tables.keep(df.withColumns({"__strong": F.concat(*strong), "__weak": F.concat(*weak)}).withColumn("__key", F.when(F.size("__weak") > 0, F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))), "spans")
     links = linked(found.where("__key is not null").select(F.col("__key").alias("key"), F.col("__weak").alias("weak"), F.col("__strong").alias("strong")), reach)
-    joined = found.join(links.select(F.col("key").alias("__k"), F.col("spans").alias("__linked")), F.col("__key") == F.col("__k"), "left")
+    joined = with_links(found, links, "__key", "__weak", atomic(df))
     wanted = F.filter(F.coalesce("__linked", F.array().cast(SPAN)), lambda x: x["kind"] != "endpoint")
     cuts = F.array_sort(F.concat("__strong", wanted))
     step = lambda a, x: F.struct(
