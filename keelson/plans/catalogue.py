@@ -20,6 +20,8 @@ from keelson.sources import wal
 
 #: The filter that the membership queries use.
 FILTER_KEYS, FILTER_BITS, FILTER_HASHES = 800, 8000, 7
+#: Bytes of an entry's value where whole texts are packed; a page has room for several.
+PIECE = 1024
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +164,31 @@ def block_lookup(spark, sf_dir):
     return shown(blocks.lookup(blocks.pack(rows), here.unionByName(missing)), "key", "value")
 
 
+def piece_runs(spark, sf_dir):
+    """Entries that hold the whole html of all pages: its bytes in numbered pieces; an empty html is one empty piece."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("__bytes", utf8("html"))
+    last = F.greatest(F.floor((F.octet_length("__bytes") - 1) / PIECE), F.lit(0)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(F.col("__bytes"), k * PIECE + 1, F.lit(PIECE)))
+    rows = p.select("page_id", "url", F.posexplode(pieces).alias("piece", "value"))
+    key = F.concat_ws("#", "url", F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lpad(F.col("piece").cast("string"), 9, "0"))
+    return rows.select(F.floor(F.col("page_id") / 100).alias("run"), utf8(key).alias("key"), "value", "page_id", "piece")
+
+
+def page_pack(spark, sf_dir):
+    return shown(blocks.pack(piece_runs(spark, sf_dir)).drop("bytes"), "first_key", "last_key")
+
+
+def page_scan(spark, sf_dir):
+    return shown(blocks.unpack(blocks.pack(piece_runs(spark, sf_dir))).select("run", "key", "value"), "key", "value")
+
+
+def page_lookup(spark, sf_dir):
+    """Every key of the table, and for each a key that is missing."""
+    rows = piece_runs(spark, sf_dir)
+    here = rows.select("run", "key")
+    return shown(blocks.lookup(blocks.pack(rows), here.unionByName(here.withColumn("key", F.concat("key", F.lit(b"!"))))), "key", "value")
+
+
 def merge_read(spark, sf_dir):
     rows = ops(spark, sf_dir)
     return shown(compaction.merge_read([state.latest(rows.where(F.col("seq") % 4 == k)) for k in range(4)]), "key", "value")
@@ -173,7 +200,7 @@ def compact_bottom(spark, sf_dir):
     return shown(state.live(compaction.merge_read([state.latest(rows.where(F.col("seq") <= 500)), state.latest(rows.where(F.col("seq") > 500))])), "key", "value")
 
 
-_all = (live_range, latest_version, range_scan, snapshot_read, point_get_tristate, state_counts, size_running, first_full_seq, log_offsets, wal_payload_hex, wal_record_hex, wal_roundtrip, wal_replay, bloom_positions, bloom_probe, bits_per_key_table, run_zone_map, run_overlap, level_listing, run_removal, level_capacity, block_pack, block_scan, block_lookup, merge_read, compact_bottom)
+_all = (live_range, latest_version, range_scan, snapshot_read, point_get_tristate, state_counts, size_running, first_full_seq, log_offsets, wal_payload_hex, wal_record_hex, wal_roundtrip, wal_replay, bloom_positions, bloom_probe, bits_per_key_table, run_zone_map, run_overlap, level_listing, run_removal, level_capacity, block_pack, block_scan, block_lookup, page_pack, page_scan, page_lookup, merge_read, compact_bottom)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _all}
 
 OPS = """ops AS (

@@ -64,3 +64,24 @@ def test_runs_of_pages(spark):
     for bad in ([(1, b"k", None)], [(1, b"k", b"x" * 5000)]):
         with pytest.raises(Exception, match="tombstone|too large"):
             blocks.pack(spark.createDataFrame(bad, "run int, key binary, value binary")).collect()
+
+
+def test_whole_pages(spark):
+    """Every byte of every page is packed, and every key looked up."""
+    from keelson.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    html = {f"{r['url']}#{r['page_id']:09d}": r["html"].encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert max(map(len, html.values())) > catalogue.PIECE
+    scanned = {bytes.fromhex(r["key"]).decode(): bytes.fromhex(r["value"]) for r in catalogue.QUERIES["page_scan"](spark, sf).collect()}
+    whole = {}
+    for key in sorted(scanned):
+        whole[key[:-10]] = whole.get(key[:-10], b"") + scanned[key]
+    assert whole == html
+    packed = catalogue.QUERIES["page_pack"](spark, sf).collect()
+    assert sum(r["entries"] for r in packed) == len(scanned) and all(r["size"] <= 4096 for r in packed)
+    looked = catalogue.QUERIES["page_lookup"](spark, sf).collect()
+    assert len(looked) == 2 * len(scanned)
+    for r in looked:
+        key = bytes.fromhex(r["key"]).decode()
+        assert (r["found"], r["value"] and bytes.fromhex(r["value"])) == ((False, None) if key.endswith("!") else (True, scanned[key]))
