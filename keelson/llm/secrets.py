@@ -3,10 +3,11 @@
 Strong spans are found by pattern. Weak candidates (short access identifiers, user names, short or
 unlabelled secrets, endpoints) say little alone; they are reported only where a complementary
 part lies within reach in the same text: identifiers with secrets, secrets with identifiers or
-endpoints, endpoints with secrets. That is an interval join: parts fall into bins of the reach, so
-a complementary part within reach lies in a candidate's own bin or one of its two neighbours. For
-each (text, bin, role) only the first and the last place are needed, which sums up any number of
-parts in one row before the join; no pairs are formed.
+endpoints, endpoints with secrets. What counts is the gap between the two, from the end of one to
+the start of the other. That is an interval join: a part falls into all bins of the reach that it
+touches, so a complementary part within reach touches a bin that the candidate, longer by the reach
+on both sides, touches too. For each (text, bin, role) only the least start and the greatest end are
+needed, which sums up any number of parts in one row before the join; no pairs are formed.
 
 Places are in code points, ends exclusive. A kind's spans are leftmost and don't overlap. Nulls: a
 null text is an empty one. Equal rows give equal results. Empty tables give empty ones.
@@ -28,11 +29,13 @@ STRONG = {
 }
 #: Weak kinds: pattern, group whose length counts, least length, role.
 _HEAD, _TAIL = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: Before a name there may be a prefix that ends with a sign, as in DB_USER.
+_NAME = "(?<![A-Za-z0-9])"
 _SET = """["']?\\x20*[:=]\\x20*["']?"""
 WEAK = {
-    "weak_id": (f"{_HEAD}AKIA[A-Z0-9]{{8,15}}{_TAIL}|{_HEAD}(?i:user(?:name)?|login|account|client_?id|access_?key_?id){_SET}[A-Za-z0-9_.@-]{{3,}}", 0, 3, "id"),
-    "weak_secret": (f"{_HEAD}(?i:pwd|pass|passphrase|auth|credential|private_?key|secret_?key){_SET}[A-Za-z0-9+/_.=-]{{6,}}|{_HEAD}[0-9a-f]{{16,23}}{_TAIL}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{{0,39}}[0-9])(?=[A-Za-z0-9+/]{{0,39}}[A-Z])(?=[A-Za-z0-9+/]{{0,39}}[a-z])[A-Za-z0-9+/]{{40}}(?![A-Za-z0-9+/=])", 0, 6, "secret"),
-    "endpoint": (f"""{_HEAD}[a-z][a-z0-9+.-]{{1,15}}://[^\\x20\\x09-\\x0D"'<>]{{3,}}|{_HEAD}(?i:host|endpoint|server){_SET}[A-Za-z0-9_.:-]{{3,}}""", 0, 3, "endpoint"),
+    "weak_id": (f"{_HEAD}AKIA[A-Z0-9]{{8,15}}{_TAIL}|{_NAME}(?i:user(?:name)?|login|account|client_?id|access_?key_?id){_SET}[A-Za-z0-9_.@-]{{3,}}", 0, 3, "id"),
+    "weak_secret": (f"{_NAME}(?i:pwd|pass|passphrase|auth|credential|private_?key|secret_?key){_SET}[A-Za-z0-9+/_.=-]{{6,}}|{_HEAD}[0-9a-f]{{16,23}}{_TAIL}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{{0,39}}[0-9])(?=[A-Za-z0-9+/]{{0,39}}[A-Z])(?=[A-Za-z0-9+/]{{0,39}}[a-z])[A-Za-z0-9+/]{{40}}(?![A-Za-z0-9+/=])", 0, 6, "secret"),
+    "endpoint": (f"""{_HEAD}[a-z][a-z0-9+.-]{{1,15}}://[^\\x20\\x09-\\x0D"'<>]{{3,}}|{_NAME}(?i:host|endpoint|server){_SET}[A-Za-z0-9_.:-]{{3,}}""", 0, 3, "endpoint"),
 }
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: v[3] for k, v in WEAK.items()}
 KINDS = [*STRONG, *WEAK]
@@ -83,20 +86,21 @@ def candidates(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """(key, spans): the weak candidates that have a complementary part within reach, of (key, weak, strong) rows.
 
-    Two parts are within reach if one starts no more than so many code points before the other
-    starts. A candidate that overlaps a strong span isn't reported, as that is already.
+    Two parts are within reach if they overlap or no more than so many code points lie between the
+    end of one and the start of the other. A candidate that overlaps a strong span isn't reported, as that is already.
     """
     role = F.element_at(F.create_map(*(x for k, r in ROLE.items() for x in (F.lit(k), F.lit(r)))), F.col("p.kind"))
     # Equal texts need linking once. Only texts with a weak candidate and two parts can have a link.
     able = parts.where((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1)).groupBy("key").agg(F.first("weak").alias("weak"), F.first("strong").alias("strong"))
-    every = able.select("key", F.explode(F.concat("weak", "strong")).alias("p")).select("key", "p", role.alias("role"), F.floor(F.col("p.start") / reach).alias("bin"))
-    summed = every.groupBy("key", "bin", "role").agg(F.min("p.start").alias("lo"), F.max("p.start").alias("hi"))
+    bins = lambda start, end: F.sequence(F.floor(start / reach), F.floor(end / reach))
+    start, end = F.col("p.start"), F.col("p.end")
+    every = able.select("key", F.explode(F.concat("weak", "strong")).alias("p")).select("key", "p", role.alias("role"))
+    summed = every.select("key", "p", "role", F.explode(bins(start, end)).alias("bin")).groupBy("key", "bin", "role").agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
     weak = every.where(F.col("p.kind").isin(list(WEAK)))
     wants = F.element_at(F.create_map(*(x for r, c in COMPLEMENT.items() for x in (F.lit(r), F.array(*map(F.lit, c))))), F.col("role"))
-    probes = weak.select("key", "p", F.col("bin").alias("own"), F.explode(wants).alias("role")).withColumn("bin", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    start = F.col("p.start")
-    # In an earlier bin the last place is the nearest, in a later one the first; in its own bin all are within reach.
-    near = (F.col("bin") == F.col("own")) | (F.col("bin") < F.col("own")) & (F.col("hi") >= start - reach) | (F.col("bin") > F.col("own")) & (F.col("lo") <= start + reach)
+    probes = weak.select("key", "p", F.explode(wants).alias("role")).withColumn("bin", F.explode(bins(start - reach, end + reach)))
+    # Parts that touch one bin leave no room between them for a candidate out of reach of all, so the two bounds may be of different parts.
+    near = (F.col("lo") <= end + reach) & (F.col("hi") >= start - reach)
     hits = probes.join(summed, ["key", "bin", "role"]).where(near)
     return hits.groupBy("key").agg(F.collect_set("p").alias("spans"))
 

@@ -160,6 +160,33 @@ def test_secrets(spark, texts):
     assert "weak_secret" in got[0]["spans"] and got[2]["spans"] == "" and got[3]["spans"] == ""
 
 
+def test_links_by_gap_and_prefixed_names(spark):
+    url, token = "https://bucket.example.com/a?sig=" + "xY/" * 73, "token=" + "k-" * 400
+    texts = [
+        f"{url} pwd=hunter2x",
+        f"{token}\nuser=alice",
+        f"user=alice{' ' * 200}{token}",
+        f"user=alice{' ' * 201}{token}",
+        f"{token}{' ' * 200}user=alice",
+        f"{token}{' ' * 201}user=alice",
+        "DB_USER=alice DB_PASS=hunter2x DB_HOST=db1",
+        f"user=alice{' ' * 250}login=bob{' ' * 250}{token}",
+    ]
+    rows = list(enumerate(texts))
+    got = by_id(secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))))
+    roles = secrets.ROLE
+    for k, t in rows:
+        strong = strong_spans(t)
+        weak = [(m.start(), 3 + n, kind, m.end()) for n, (kind, (p, *_)) in enumerate(secrets.WEAK.items()) for m in re.finditer(p, t, re.ASCII)]
+        near = lambda w, s: max(w[0], s[0]) - min(w[3], s[3]) <= 200 and roles[s[2]] in secrets.COMPLEMENT[roles[w[2]]]
+        linked = [w for w in weak if any(near(w, s) for s in strong + weak) and not any(s[0] < w[3] and w[0] < s[3] for s in strong)]
+        assert got[k]["spans"] == ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in sorted(strong + linked)), k
+    assert ["weak_" in got[k]["spans"] for k in range(8)] == [True, True, True, False, True, False, True, False]
+    assert got[6]["spans"] == "weak_id:3:13,weak_secret:17:30,endpoint:34:42"
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(spark.createDataFrame(rows, "doc_id bigint, text string"), "#").collect()}
+    assert clean[0] == f"{url} #" and clean[1] == "#\n#" and clean[6] == "DB_# DB_# DB_HOST=db1"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(SECRET_TEXTS)], "doc_id bigint, text string, n_chars int")
     for r in secrets.redacted(df, "#").collect():
