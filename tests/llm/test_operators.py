@@ -274,6 +274,26 @@ def test_bands_judge_the_whole_document(spark, texts):
     assert sum(g["kept"] for g in got.values()) > 0.7 * sum(not g["base_failed"] for g in got.values())
 
 
+def test_each_language_has_its_band(spark):
+    """Fourteen languages of few documents, and one that grows from 99 to 100."""
+    rng = np.random.default_rng(6)
+
+    def made(lang, k, n):
+        letters = rng.permutation(26)[: 6 + k] + 97
+        words = ["".join(map(chr, rng.choice(letters, 2 + k % 5))) for _ in range(200)]
+        return [(f"{lang}{i}", " ".join(rng.choice(words, 120)), lang) for i in range(n)]
+
+    schema = "doc_id string, text string, lang string"
+    rows = [x for k in range(14) for x in made(f"l{k}", k, 20)] + [("null", made("x", 3, 1)[0][1], None)]
+    got = rules.judge(spark.createDataFrame(rows, schema)).collect()
+    bands = {(r["band_low"], r["band_high"]) for r in got}
+    assert len(got) == len(rows) and len(bands) == 15
+    grown = made("a", 4, 100) + made("b", 9, 300)
+    less, more = (by_id(rules.judge(spark.createDataFrame([x for x in grown if x[0] not in out], schema))) for out in (("a99",), ()))
+    for k, g in less.items():
+        assert g["kept"] == more[k]["kept"] and math.isclose(g["perplexity"], more[k]["perplexity"], rel_tol=0.01)
+
+
 def test_kneser_ney():
     """Probabilities add up and match a direct recursion."""
     words = [b"banana", b"bandana", b"ban", b"cabana"] * 3 + [b"xyz"]
