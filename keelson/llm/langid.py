@@ -24,8 +24,8 @@ from keelson.llm.textvec import LOWER, buffers, slices
 
 WIDTHS, FILTERS, DIM, WINDOW = (2, 3, 4), 16, 8, 128
 REACH = max(WIDTHS)
-#: Bounds of training: texts for each language, languages (the most frequent), windows of a text.
-PER_LANGUAGE, LANGUAGES, WINDOWS = 800, 64, 6
+#: Bounds of training: texts for each language, texts of all (one of each language at least), windows of a text.
+PER_LANGUAGE, TEXTS, WINDOWS = 800, 51200, 6
 STEP = 64
 
 
@@ -121,13 +121,15 @@ class Network:
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, per_language: int = PER_LANGUAGE) -> tuple[list[str], Network | None]:
     """Languages and network, learned from about so many texts of each language outside the held-out remainder."""
     learn = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learned_from("id", modulus) & F.col("lang").isNotNull())
-    counts = [(r["lang"], r["count"]) for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counts = [(r["lang"], r["count"]) for r in learn.groupBy("lang").count().collect()]
     if not counts:
         return [], None
     languages = sorted(x for x, _ in counts)
-    # By hash of the id: about twice as many as needed, which the driver then cuts to the bound.
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, 2.0 * per_language / n))) for x, n in counts))
-    drawn = learn.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20))
+    per_language = max(1, min(per_language, TEXTS // len(counts)))
+    # By hash of the id: about twice as many as needed, and enough that no language is missed; the driver then cuts to the bound.
+    wanted = max(2 * per_language, per_language + 20)
+    shares = documents.sparkSession.createDataFrame([(x, min(1.0, wanted / n)) for x, n in counts], "lang string, share double")
+    drawn = learn.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 40)) < F.col("share") * (1 << 40))
     spots = [F.substring(F.encode("text", "UTF-8"), (F.octet_length("text") * (k / WINDOWS)).cast("int") + F.lit(1), F.lit(WINDOW)) for k in range(WINDOWS)]
     rows = drawn.select("lang", F.xxhash64("id").alias("h"), F.array(*spots).alias("windows")).collect()
     by: dict[str, list] = {x: [] for x in languages}

@@ -97,6 +97,19 @@ def test_op2(spark, documents):
     assert sum(got[k]["lang_pred"] == lang[k] for k in held) / len(held) > 0.95
 
 
+def test_all_languages_are_learned(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 64 * k + c) for c in range(8)]
+        rows += [(1000 * k + i, "".join(rng.choice(letters, 300)), f"l{k:02d}") for i in range(8 if k == 69 else 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    languages, network = model = langid.fit(df)
+    assert languages == [f"l{k:02d}" for k in range(70)] and len(network.p["out_bias"]) == 70
+    got = by_id(langid.predict(df, model))
+    assert {got[k]["lang_pred"] for k, _, lang in rows if lang == "l69"} == {"l69"}
+
+
 def test_langid_gradients():
     net = langid.Network(3)
     x = np.random.default_rng(0).integers(1, 200, (6, langid.WINDOW), dtype=np.uint8)
