@@ -13,7 +13,7 @@ import base64
 
 import numpy as np
 
-from keelson.llm.textvec import BYTE_VALUE, U64, segment_hashes
+from keelson.llm.textvec import U64, segment_hashes
 
 #: Fixed value: the special token of the vocabulary, its string and id.
 SPECIAL, SPECIAL_ID = b"<|endoftext|>", 50256
@@ -154,7 +154,7 @@ def encode(data: np.ndarray, offs: np.ndarray, paths: tuple, known: np.ndarray |
     """
     encoder, cache = worker(paths)
     starts, ends, first, ok = chunks(data, offs)
-    h = segment_hashes(data, starts, ends, BYTE_VALUE)
+    h = segment_hashes(data, starts, ends)
     distinct, example, inverse = np.unique(h, return_index=True, return_inverse=True)
     count = np.full(len(distinct), -1, np.int64)
     if known is not None and len(known) and len(distinct):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import extended, learned_from, text_bytes
-from keelson.llm.textvec import BYTE_VALUE, LOWER_VALUE, U64, buffers, mix, segment_hashes, slices, words
+from keelson.llm.textvec import LOWER, U64, buffers, mix, segment_hashes, slices, words
 
 BUCKET_BITS = 18
 #: Bound of the sample of labelled rows that training uses.
@@ -52,8 +52,8 @@ def occurrences(data: np.ndarray, offs: np.ndarray, bits: int = BUCKET_BITS) ->
         short = shape[keep]
         s, e = at[starts], at[ends]
         same = s == e
-        shapes = segment_hashes(short, s, np.where(same, s + 1, e), BYTE_VALUE)
-        plain = segment_hashes(data, starts, ends, LOWER_VALUE)
+        shapes = segment_hashes(short, s, np.where(same, s + 1, e))
+        plain = segment_hashes(LOWER[data], starts, ends)
         prior = np.zeros(n, U64)
         prior[1:] = plain[:-1]
         prior_shape = np.zeros(n, U64)

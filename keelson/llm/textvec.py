@@ -1,46 +1,26 @@
 """Vectorised text handling on Arrow buffers: word boundaries, 64-bit word hashes, shingles.
 
 Everything works on the UTF-8 bytes of whole texts. A word is a maximal run of bytes other than
-0x20 and 0x09-0x0D. Work is done in segments of about SEGMENT bytes, cut between words, so one
-very long text needs 8 bytes a word beyond a fixed amount.
+0x20 and 0x09-0x0D. A text needs 8 bytes a word beyond its own bytes, however long it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SEGMENT = 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Hash constants from a fixed seed: a random value for each byte and an odd multiplier.
-_rng = np.random.default_rng(20240229)
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + _rng.integers(0, 2, 256, dtype=U64)
-LOWER_VALUE = BYTE_VALUE[LOWER]
-MULTIPLIER = int(_rng.integers(1, 1 << 60)) * 8 + 3
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers 0..n-1 and those of its inverse, modulo 2^64."""
-    have = _powers.get("up")
-    if have is not None and len(have) >= n:
-        return have[:n], _powers["down"][:n]
-    size = max(n, SEGMENT + (1 << 16))
-    both = []
-    for base in (MULTIPLIER, INVERSE):
-        p = np.full(size, base, U64)
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    if size <= 2 * SEGMENT:
-        _powers["up"], _powers["down"] = both
-    return both[0][:n], both[1][:n]
+#: Odd multipliers from a fixed seed, one for each lane of eight bytes, and masks of a lane's first bytes.
+LANES = 8
+MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, LANES, dtype=U64) * U64(2) + U64(1)
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,22 +60,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             at = to
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], for ascending ranges that don't overlap."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
-        stop = int(ends[to - 1])
-        up, down = powers(stop - base + 1)
-        total = np.empty(stop - base + 1, U64)
-        total[0] = 0
-        np.cumsum(values[data[base:stop]] * up[: stop - base], out=total[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
-        at = to
-    return mix(out)
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end].
+
+    Lanes of eight bytes go in one after the other, each through a mix that no ring makes linear; ranges of
+    one length up to eight bytes never collide. Ranges beyond LANES lanes take the first bytes of a BLAKE2b.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lane = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(U64) << U64(56))
+    left = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    for k in range(LANES):
+        if not len(left):
+            break
+        rest = size[left] - 8 * k
+        out[left] = mix((out[left] ^ lane[starts[left] + 8 * k] & FIRST_BYTES[np.minimum(rest, 8)]) * MULTIPLIERS[k])
+        left = left[rest > 8]
+    raw = memoryview(np.ascontiguousarray(data))
+    for k in np.flatnonzero(size > 8 * LANES):
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +106,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased if asked) and each text's first place among them."""
     starts, ends, first = words(data, offs)
-    return segment_hashes(data, starts, ends, LOWER_VALUE if lower else BYTE_VALUE), first
+    return segment_hashes(LOWER[data] if lower else data, starts, ends), first
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm import bpe
 from keelson.llm.common import extended, text_bytes
-from keelson.llm.textvec import BYTE_VALUE, U64, buffers, segment_hashes, slices
+from keelson.llm.textvec import U64, buffers, segment_hashes, slices
 
 FREQUENT = 1 << 16
 FAN_IN = 32
@@ -59,7 +59,7 @@ def frequent_chunks(df: DataFrame, text_col: str, paths: tuple, size: int = FREQ
             data, offs = buffers(b.column(0))
             starts, ends, _, ok = bpe.chunks(data, offs)
             ok &= ends - starts <= bpe.LONGEST_CACHED
-            own, at, count = np.unique(segment_hashes(data, starts[ok], ends[ok], BYTE_VALUE), return_index=True, return_counts=True)
+            own, at, count = np.unique(segment_hashes(data, starts[ok], ends[ok]), return_index=True, return_counts=True)
             h, n = merged(np.concatenate([h, own]), np.concatenate([n, count]), size)
             often = count > 1
             where = np.flatnonzero(ok)[at[often]]
