@@ -1,18 +1,23 @@
 """Language model scores by deleted interpolation of word n-gram estimates.
 
-P(w | v) = a * c(v w)/c(v) + b * c(w)/N + (1 - a - b) / (V + 1); the weights a and b depend on the
-bucket of the context's frequency c(v) (powers of two) and are learned by expectation-maximisation
-on deleted counts: each training token is scored with itself taken out of all counts. V + 1 is the
-number of different training tokens and one class for all others, so probabilities add up to 1.
-
-Counting and looking up are one exchange. Texts are dealt into blocks by hash. A block sends its
-distinct words and word pairs (64-bit hashes, sorted, with their counts in its training texts) to
-ranges of the hash space, one message to each range; a range adds up what all blocks sent and
-answers each with the totals of just what it asked for, in the same order. So n-grams move once
-for each block, not once for each occurrence, no table is broadcast, and memory is bounded by
-blocks and ranges. Each block then knows all counts of its texts' tokens, which it stores. EM runs
-on counts of training tokens by (bucket, ratios in steps of a quarter of a power of two); what the
-driver sees is bounded. A last map scores the stored counts.
+P(w | u v) = a3 c(u v w)/c(u v) + a2 c(v w)/c(v) + a1 c(w)/N + a0/(V + 1). The weights depend on the
+bucket of the frequency of the longest context that is known, and are learned by expectation-
+maximisation on held-out counts: a seventh of the training texts is taken out of all counts and its tokens
+are scored by what is left. Scores then use the counts of all training texts. V + 1 is the number
+of different training tokens and one class for all others, so probabilities add up to 1.
+
+Texts are packed where they are read into blocks of bounded size, which are written, compressed, as
+a table bucketed by block. A block sends its distinct n-grams (sorted 64-bit hashes, with their
+counts in its training texts) to ranges of the hash space, one message to each range that it has any
+in; a range adds up what all blocks sent and answers each with the totals of just what it asked
+for, in the same order. So there are never more messages than a block has n-grams, n-grams move once for
+each block, not once for each occurrence, texts aren't shuffled, no table is broadcast, and memory
+is bounded by blocks and ranges whatever the corpus. The answers are a table too; a block meets them
+twice, for the held-out counts and for the scores. What the driver sees of the held-out counts is
+bounded: numbers of tokens by (bucket, ratios in steps of half a power of two).
+
+Pairs and longer n-grams are told apart by so many bits of their hash that at most about one in
+2^24 shares them with another, at every size of the corpus; words by all 64.
 
 Nulls: a null text is an empty one and has only its end token; a null id isn't learned from. Rows
 are scored each for itself; repeated ones all count. Without training texts N = V = 0 and all
@@ -21,6 +26,7 @@ tokens have probability 1. Empty tables give empty ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,196 +34,262 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, learned_from, Tables, text_bytes
-from keelson.llm.textvec import U64, buffers, mix, word_hashes
+from keelson.llm.common import extended, held_out, learned_from, remainder, Tables, text_bytes
+from keelson.llm.textvec import U64, buffers, mix, slices, word_hashes
 
-#: Hashes that stand for the begin and the end of a text.
+ORDER = 3
+#: Hashes that stand for what is before a text and for its end.
 BEGIN, END = U64(0x5555AAAA0F0F0001), U64(0x5555AAAA0F0F0002)
-BUCKETS = 24
-QUARTER, ZERO = 4, -200
+#: Text of a block; buckets of a context's frequency, of which the first ones are single numbers.
+BLOCK, BUCKETS, SINGLE = 12 << 20, 24, 4
+#: Steps of a power of two in which ratios are held, the one that stands for 0, and the bits of each.
+STEPS, ZERO, WIDTH = 2, -500, 12
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes; sorted hashes shrink by their high bytes."""
-    width = values.dtype.itemsize
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T)
+    """Integers as compressed byte planes; sorted hashes shrink by their high bytes. Few are left as they are."""
+    if len(values) < 32:
+        return values.tobytes()
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
     return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, n: int, kind: str) -> np.ndarray:
+    if n < 32:
+        return np.frombuffer(data, kind)
     width = np.dtype(kind).itemsize
-    raw = pa.Codec("zstd").decompress(data, n * width, asbytes=True) if n else b""
+    raw = pa.Codec("zstd").decompress(data, n * width, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' tokens (hashes), the token before each, and each text's first place."""
-    data, offs = buffers(column)
+def grams(data: np.ndarray, offs: np.ndarray, bits: int = 64) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order, the hash of the n-gram that ends at each token; and the texts' places among the tokens."""
     h, first = word_hashes(data, offs)
-    n = np.diff(first) + 1
-    place = np.concatenate([[0], np.cumsum(n)])
+    place = np.concatenate([[0], np.cumsum(np.diff(first) + 1)])
     own = np.full(place[-1], END, U64)
     word = np.ones(place[-1], bool)
     word[place[1:] - 1] = False
     own[word] = h
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[place[:-1]] = BEGIN
-    return own, before, place
-
-
-def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of each token and of each pair, and the texts' places."""
-    own, before, place = tokens(column)
-    return [own, mix(before * U64(0x9E3779B97F4A7C15) + own)], place
-
-
-def asked(table: pa.Table, ranges: int) -> pa.Table:
-    """A block's messages: one to each range for each order."""
-    column = table.column("bytes").combine_chunks()
-    learn = np.asarray(table.column("learn").to_numpy(), bool)
-    block = table.column("block")[0].as_py()
-    orders, place = grams(column)
-    counted = np.repeat(learn, np.diff(place))
-    out: dict[str, list] = {"range": [], "block": [], "size": [], "hashes": [], "counts": []}
+    low = U64((1 << 64) - (1 << (64 - bits)))
+    orders, before = [own], own
+    for _ in range(ORDER - 1):
+        # The tokens before, one more each time.
+        last = np.empty_like(before)
+        last[1:] = before[:-1]
+        last[place[:-1]] = BEGIN
+        before = last
+        orders.append(mix(orders[-1] * U64(0x9E3779B97F4A7C15) + mix(before)))
+    return [own, *(x & low for x in orders[1:])], place
+
+
+def block_of(row: pa.RecordBatch | pa.Table, k: int = 0) -> tuple[np.ndarray, np.ndarray, dict]:
+    """A block's bytes, its texts' offsets and its other lists."""
+    get = lambda name: row.column(row.schema.get_field_index(name))[k]
+    offs = np.concatenate([[0], np.cumsum(np.asarray(get("lengths").values, np.int64))])
+    raw = pa.Codec("zstd").decompress(get("texts").as_py(), int(offs[-1]), asbytes=True) if offs[-1] else b""
+    lists = {n: np.asarray(get(n).values.to_numpy(zero_copy_only=False), bool) for n in ("learn", "held", "apart")}
+    return np.frombuffer(raw, np.uint8), offs, lists | {"ids": get("ids").values}
+
+
+def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, ids, learn, held, apart, lengths, texts): the rows of each task, so many bytes of text together."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        parts, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal number, parts, size
+            t = pa.Table.from_batches(parts).combine_chunks()
+            data, offs = buffers(t.column("bytes"))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            lists = [one(t.column(n).combine_chunks()) for n in ("id", "learn", "held", "apart")]
+            text = pa.Codec("zstd", 3).compress(data.tobytes(), asbytes=True)
+            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, one(pa.array(np.diff(offs))), pa.array([text], pa.binary())], names=["block", "ids", "learn", "held", "apart", "lengths", "texts"])
+            number, parts, size = number + 1, [], 0
+            return out
+
+        for b in slices(batches, "bytes", min(block_bytes, 1 << 20)):
+            n = b.column(b.schema.get_field_index("bytes")).nbytes
+            if parts and size + n > block_bytes:
+                yield block()
+            parts.append(b)
+            size += n
+        if parts:
+            yield block()
+
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, learn array<boolean>, held array<boolean>, apart array<boolean>, lengths array<long>, texts binary")
+
+
+def bucketed(df: DataFrame, tables: Tables, column: str, number: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a column, so that joining on it doesn't shuffle it again."""
+    name = f"keelson_{uuid.uuid4().hex}"
+    df.write.bucketBy(number, column).format("parquet").option("compression", "zstd").option("path", f"{tables.root}/{name}").saveAsTable(name)
+    table = df.sparkSession.table(name)
+    # What is resolved keeps its files; nothing but the name goes.
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return table
+
+
+def asked(batches: Iterator[pa.RecordBatch], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Each block's messages, one to each range for each order that it has n-grams in."""
     shift = U64(64 - (ranges.bit_length() - 1))
-    for order, h in enumerate(orders):
-        distinct, inverse = np.unique(h, return_inverse=True)
-        n = np.bincount(inverse, counted, minlength=len(distinct)).astype(np.uint32)
-        part = (distinct >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(distinct), np.int64)
-        edge = np.searchsorted(part, np.arange(ranges + 1))
-        for r in range(ranges):
-            a, b = edge[r], edge[r + 1]
-            for k, v in (("range", order * ranges + r), ("block", block), ("size", int(b - a)), ("hashes", pack(distinct[a:b])), ("counts", pack(n[a:b]))):
-                out[k].append(v)
-    return pa.table([pa.array(out["range"], pa.int64()), pa.array(out["block"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
+    for b in batches:
+        for k in range(b.num_rows):
+            data, offs, lists = block_of(b, k)
+            orders, place = grams(data, offs, bits)
+            counted, apart = (np.repeat(lists[x], np.diff(place)) for x in ("learn", "apart"))
+            for order, h in enumerate(orders):
+                distinct, inverse = np.unique(h, return_inverse=True)
+                n, held = (np.bincount(inverse, x, minlength=len(distinct)).astype("<u4") for x in (counted, apart))
+                part = (distinct >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(distinct), np.int64)
+                to = np.unique(part)
+                edge = [*np.searchsorted(part, to).tolist(), len(part)]
+                cells = [[pack(x[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)] for x in (distinct, n, held)]
+                columns = [pa.array(to + order * ranges), pa.array(np.full(len(to), b.column(0)[k].as_py(), np.int64)), pa.array(np.diff(edge), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "block", "size", "hashes", "counts", "held"])
 
 
 def answered(table: pa.Table) -> pa.Table:
-    """A range's totals, for each block in the order that it asked in; with the range's number of different n-grams and tokens."""
+    """A range's totals, for each block in the order that it asked in; and once its different n-grams and its tokens."""
     size = table.column("size").to_numpy()
-    read = lambda name, kind: [unpack(x, n, kind) for x, n in zip(table.column(name).to_pylist(), size.tolist(), strict=True)]
-    h = np.concatenate(read("hashes", "<u8"))
-    n = np.concatenate(read("counts", "<u4"))
-    distinct, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, n, minlength=len(distinct)).astype(np.uint32) if len(h) else n
+    read = lambda name, kind: np.concatenate([unpack(x, n, kind) for x, n in zip(table.column(name).to_pylist(), size.tolist(), strict=True)])
+    distinct, inverse = np.unique(read("hashes", "<u8"), return_inverse=True)
+    total, held = (np.bincount(inverse, read(x, "<u4"), minlength=len(distinct)).astype("<u8") for x in ("counts", "held"))
     place = np.concatenate([[0], np.cumsum(size)])
-    every = total[inverse] if len(h) else n
-    return pa.table({
-        "block": table.column("block"), "range": table.column("range"), "size": table.column("size"),
-        "counts": pa.array([pack(every[a:b]) for a, b in zip(place[:-1], place[1:], strict=True)], pa.binary()),
-        "different": np.full(len(size), int((total > 0).sum()), np.int64), "all": np.full(len(size), int(total.sum(dtype=np.int64)), np.int64),
-    })
-
-
-def context(c1: np.ndarray, first: np.ndarray, texts: int) -> np.ndarray:
-    """Counts of the tokens before each: a word as often as it occurs, the begin as often as there are texts."""
-    out = np.empty_like(c1)
-    out[1:] = c1[:-1]
-    out[first] = texts
+    cut = lambda x: pa.array([pack(x[inverse[a:b]]) for a, b in zip(place[:-1], place[1:], strict=True)], pa.binary())
+    once = lambda x: pa.array(np.where(np.arange(len(size)) == 0, int(x), 0), pa.int64())
+    return pa.table({"block": table.column("block"), "range": table.column("range"), "size": table.column("size"), "counts": cut(total), "held": cut(held), "different": once((total > 0).sum()), "all": once(total.sum()), "all_held": once(held.sum())})
+
+
+def level(c: np.ndarray) -> np.ndarray:
+    """The bucket of a frequency: small ones stand alone, others by powers of two."""
+    return np.where(c <= SINGLE, c, np.minimum(BUCKETS - 1, SINGLE - 1 + np.log2(np.maximum(c, 1)).astype(np.int64)))
+
+
+def contexts(counts: list[np.ndarray], first: np.ndarray, texts: int) -> list[np.ndarray]:
+    """For each order from 2, the counts of the tokens before: as often as the n-gram that ends there; before a text, as there are texts."""
+    out = []
+    for c in counts[:-1]:
+        x = np.empty_like(c)
+        x[1:] = c[:-1]
+        x[first] = texts
+        out.append(x)
     return out
 
 
-def bucket(c: np.ndarray) -> np.ndarray:
-    return np.where(c > 0, np.minimum(BUCKETS - 1, np.log2(np.maximum(c, 1)).astype(np.int64) + 1), 0)
+def estimates(counts: list[np.ndarray], first: np.ndarray, texts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's bucket, by its longest known context, and its estimates from the highest order down."""
+    before = contexts(counts, first, texts)
+    by = np.zeros(len(counts[0]), np.int64)
+    for order, c in enumerate(before):
+        by = np.where(c > 0, order * BUCKETS + level(c), by)
+    f = [counts[0] / max(n, 1)] + [c / np.maximum(b, 1) for c, b in zip(counts[1:], before, strict=True)]
+    return by, np.stack(f[::-1], axis=1)
 
 
-def deleted(c1: np.ndarray, c2: np.ndarray, cv: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of training tokens by bucket and quantised log2 ratios of their estimates, themselves taken out, to 1 / (V + 1)."""
-    quantised = lambda x: np.where(x > 0, np.round(QUARTER * np.log2(np.maximum(x, 1e-30))), ZERO).astype(np.int64)
-    high = quantised((c2 - 1) / np.maximum(cv - 1, 1) * (v + 1.0))
-    low = quantised((c1 - 1) / max(n - 1, 1) * (v + 1.0))
-    key = bucket(cv - 1) << 40 | (high + 1024) << 20 | (low + 1024)
+def binned(by: np.ndarray, f: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens by bucket and quantised log2 ratios of their estimates to 1 / (V + 1)."""
+    q = np.where(f > 0, np.round(STEPS * np.log2(np.maximum(f, 1e-300) * (v + 1.0))), ZERO).astype(np.int64) + (1 << WIDTH - 1)
+    key = by
+    for k in range(ORDER):
+        key = key << WIDTH | q[:, k]
     return np.unique(key, return_counts=True)
 
 
-def block_counts(replies: pa.Table, docs: pa.Table) -> pa.Table:
-    """One row for a block: ids and, for all tokens, the totals; base scores; and what EM needs."""
-    empty = not docs.num_rows
-    replies = replies.sort_by("range")
-    half = replies.num_rows // 2
-    total = [unpack(x, n, "<u4") for x, n in zip(replies.column("counts").to_pylist(), replies.column("size").to_pylist(), strict=True)]
-    n = int(sum(replies.column("all").to_pylist()[:half]))
-    v = int(sum(replies.column("different").to_pylist()[:half]))
-    column = docs.column("bytes").combine_chunks() if not empty else pa.array([], pa.binary())
-    orders, place = grams(column)
-    c1, c2 = (np.concatenate(t)[np.unique(h, return_inverse=True)[1]] if len(h) else np.zeros(0, np.uint32) for t, h in zip((total[:half], total[half:]), orders, strict=True))
-    learn = np.asarray(docs.column("learn").to_numpy(), bool)
-    # Every training text has one end token.
-    ends = int(c1[place[1] - 1]) if len(c1) else 0
-    cv = context(c1, place[:-1], ends)
-    logs = np.concatenate([[0], np.cumsum(np.log10((c1 + 1.0) / (n + v + 1.0)))])
-    known = np.concatenate([[0], np.cumsum(c1 > 0)])
-    counted = np.repeat(learn, np.diff(place))
-    bins, hits = deleted(c1[counted].astype(np.int64), c2[counted].astype(np.int64), cv[counted].astype(np.int64), n, v)
-    one = lambda x, t: pa.array([x], pa.list_(t))
-    ids = pa.ListArray.from_arrays(pa.array([0, docs.num_rows], pa.int32()), docs.column("id").combine_chunks())
-    return pa.table({
-        "ids": ids, "held": pa.ListArray.from_arrays(pa.array([0, docs.num_rows], pa.int32()), docs.column("held").combine_chunks()),
-        "tokens": one(np.diff(place), pa.int64()), "known": one(known[place[1:]] - known[place[:-1]], pa.int64()), "base": one(logs[place[1:]] - logs[place[:-1]], pa.float64()),
-        "n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64()), "ends": pa.array([ends], pa.int64()),
-        "words": pa.array([pack(c1)], pa.binary()), "pairs": pa.array([pack(c2)], pa.binary()),
-        "bins": one(bins, pa.int64()), "hits": one(hits, pa.int64()),
-    })
-
-
-def weights(keys: np.ndarray, hits: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Weights (pair, word, uniform) by bucket, by expectation-maximisation on the deleted counts."""
-    out = np.tile([1 / 3, 1 / 3, 1 / 3], (BUCKETS, 1))
-    out[0] = [0.0, 0.5, 0.5]
-    by = keys >> 40
-    high, low = (keys >> 20 & 0xFFFFF) - 1024, (keys & 0xFFFFF) - 1024
-    ratio = lambda q: np.where(q <= ZERO, 0.0, 2.0 ** (q / QUARTER))
-    f = np.stack([ratio(high), ratio(low), np.ones(len(keys))], axis=1)
+def weights(keys: np.ndarray, hits: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights (highest order first, the uniform last) by bucket, by expectation-maximisation on the held-out counts."""
+    number = (ORDER - 1) * BUCKETS
+    allowed = np.ones((number, ORDER + 1), bool)
+    for order in range(ORDER - 1):
+        # Without a known context of some length, what needs it has no weight.
+        allowed[order * BUCKETS : (order + 1) * BUCKETS, : ORDER - 2 - order] = False
+    allowed[0, : ORDER - 1] = False
+    out = start = allowed / allowed.sum(axis=1, keepdims=True)
+    by = keys >> WIDTH * ORDER
+    q = np.stack([(keys >> WIDTH * (ORDER - 1 - k) & (1 << WIDTH) - 1) - (1 << WIDTH - 1) for k in range(ORDER)], axis=1)
+    f = np.concatenate([np.where(q <= ZERO, 0.0, 2.0 ** (q / STEPS)), np.ones((len(keys), 1))], axis=1)
     for _ in range(rounds):
         share = f * out[by]
         share *= (hits / share.sum(axis=1))[:, None]
         # One token's worth of the start weights keeps every class possible.
-        new = np.stack([np.bincount(by, share[:, k], minlength=BUCKETS) for k in range(3)], axis=1) + np.where(out > 0, 1 / 3, 0)
-        new[0, 0] = 0
+        new = np.stack([np.bincount(by, share[:, k], minlength=number) for k in range(ORDER + 1)], axis=1) + start
         new /= new.sum(axis=1, keepdims=True)
-        if np.abs(new - out).max() < 1e-7:
+        change, out = np.abs(new - out).max(), new
+        if change < 1e-7:
             break
-        out = new
     return out
 
 
+def met(replies: pa.Table, rows: pa.Table, bits: int, ranges: int, apart: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, dict]:
+    """The counts and the held-out counts of the n-grams of each order at a block's tokens; the texts' places; the block's lists.
+
+    apart: only at the tokens of the texts that are set apart.
+    """
+    data, offs, lists = block_of(rows)
+    orders, place = grams(data, offs, bits)
+    sizes = np.diff(place)
+    some = np.repeat(lists["apart"], sizes)
+    replies = replies.sort_by("range")
+    order_of = replies.column("range").to_numpy() // ranges
+    total, held = [], []
+    for order, h in enumerate(orders):
+        if apart:
+            at = np.searchsorted(np.unique(h), h[some])
+        else:
+            at = np.unique(h, return_inverse=True)[1]
+        own = replies.filter(pa.array(order_of == order))
+        number = own.column("size").to_pylist()
+        for name, out in (("counts", total), ("held", held)):
+            out.append(np.concatenate([unpack(x, n, "<u8") for x, n in zip(own.column(name).to_pylist(), number, strict=True)]).astype(np.int64)[at])
+    return total, held, np.concatenate([[0], np.cumsum(sizes[lists["apart"]])]) if apart else place, lists
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, block_bytes: int | None = None, tables: Tables | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text.
 
-    block_bytes: text of a block; by default it grows with the square root of the corpus, from 12
-    to 128 MB, so that the number of messages (blocks x ranges) stays in proportion to the input.
+    block_bytes: text of a block; by default BLOCK, and less where that would leave cores without a block.
     """
     spark = df.sparkSession
     tables = tables or Tables(spark, "lm")
-    docs = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"), learned_from(id_col, modulus).alias("learn"), F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == 2, F.lit(False)).alias("held"))
+    apart = F.coalesce(remainder(id_col, modulus) == 3, F.lit(False))
+    docs = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"), learned_from(id_col, modulus).alias("learn"), held_out(id_col, modulus).alias("held"), apart.alias("apart"))
     size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("b")).first()["b"] or 0
-    block_bytes = block_bytes or int(min(128 << 20, max(12 << 20, (size * (64 << 10)) ** 0.5)))
-    blocks = max(1, -(-size // block_bytes))
-    ranges = 1 << max(0, (blocks - 1).bit_length())
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), "bytes"), F.lit(blocks)))
-    kind = docs.schema["id"].dataType
-    asks = dealt.groupBy("block").applyInArrow(lambda t: asked(t, ranges), "range long, block long, size long, hashes binary, counts binary")
-    replies = asks.groupBy("range").applyInArrow(answered, "block long, range long, size long, counts binary, different long, all long")
-    schema = f"ids array<{kind.simpleString()}>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, n long, v long, ends long, words binary, pairs binary, bins array<long>, hits array<long>"
-    counted = tables.keep(replies.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(block_counts, schema), "counts")
-    pairs = counted.select(F.explode(F.arrays_zip("bins", "hits")).alias("x")).groupBy("x.bins").agg(F.sum("x.hits").alias("hits")).toPandas()
-    shared = spark.sparkContext.broadcast(weights(pairs["bins"].to_numpy(np.int64), pairs["hits"].to_numpy(np.float64)))
-    out = extended(docs.select(F.col("id").alias(id_col)).schema, held_out="boolean", n_tokens="bigint", n_known="bigint", train_tokens="bigint", base_score="double", score="double")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lam = shared.value
-        for b in batches:
-            for k in range(b.num_rows):
-                get = lambda name: b.column(b.schema.get_field_index(name))[k]  # noqa: E731, B023
-                each = np.asarray(get("tokens").values)
-                place = np.concatenate([[0], np.cumsum(each)])
-                c1, c2 = (unpack(get(x).as_py(), int(place[-1]), "<u4").astype(np.float64) for x in ("words", "pairs"))
-                n, v, ends = (get(x).as_py() for x in ("n", "v", "ends"))
-                cv = context(c1, place[:-1], ends)
-                w = lam[bucket(cv)]
-                p = w[:, 0] * c2 / np.maximum(cv, 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] / (v + 1.0)
-                logs = np.concatenate([[0], np.cumsum(np.log10(p))]) if n else np.zeros(len(p) + 1)
-                yield pa.RecordBatch.from_arrays([get("ids").values, get("held").values, pa.array(each), get("known").values, pa.array(np.full(len(each), n, np.int64)), get("base").values, pa.array(logs[place[1:]] - logs[place[:-1]])], names=[f.name for f in out])
-
-    return counted.select("ids", "held", "tokens", "known", "base", "n", "v", "ends", "words", "pairs").mapInArrow(finish, out)
+    block_bytes = block_bytes or min(BLOCK, max(1 << 20, size // (2 * spark.sparkContext.defaultParallelism)))
+    number = max(1, -(-size // block_bytes))
+    ranges = 1 << max(0, (number - 1).bit_length())
+    # 24 bits beyond the logarithm of the number of tokens, if they take four bytes each.
+    bits = min(64, max(20, size.bit_length()) + 22)
+    rows = bucketed(blocks(docs, block_bytes), tables, "block", min(10_000, max(8, number)))
+    asks = rows.mapInArrow(lambda b: asked(b, ranges, bits), "range long, block long, size long, hashes binary, counts binary, held binary")
+    replies = tables.keep(asks.groupBy("range").applyInArrow(answered, "block long, range long, size long, counts binary, held binary, different long, all long, all_held long"), "replies")
+    words = replies.where(F.col("range") < ranges).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("different", "all", "all_held"))).first()
+    true = lambda x: F.coalesce(F.sum(F.size(F.filter(x, lambda y: y))), F.lit(0))
+    texts = rows.agg(true("learn").alias("learn"), true("apart").alias("apart")).first()
+    n, v = words["all"], words["different"]
+    answers = replies.select("block", "range", "size", "counts", "held").groupBy("block")
+
+    def held_counts(replies: pa.Table, table: pa.Table) -> pa.Table:
+        total, held, place, _ = met(replies, table, bits, ranges, apart=True)
+        by, f = estimates([t - h for t, h in zip(total, held, strict=True)], place[:-1], texts["learn"] - texts["apart"], n - words["all_held"])
+        keys, hits = binned(by, f, v)
+        return pa.table({"bin": pa.array(keys, pa.int64()), "hits": pa.array(hits, pa.int64())})
+
+    bins = answers.cogroup(rows.groupBy("block")).applyInArrow(held_counts, "bin long, hits long").groupBy("bin").agg(F.sum("hits").alias("hits")).orderBy("bin").toPandas()
+    shared = spark.sparkContext.broadcast(weights(bins["bin"].to_numpy(np.int64), bins["hits"].to_numpy(np.float64)))
+    out = extended(df.select(F.col(id_col)).schema, held_out="boolean", n_tokens="bigint", n_known="bigint", train_tokens="bigint", base_score="double", score="double")
+
+    def finish(replies: pa.Table, table: pa.Table) -> pa.Table:
+        total, _, place, lists = met(replies, table, bits, ranges)
+        by, f = estimates(total, place[:-1], texts["learn"], n)
+        lam = shared.value[by]
+        p = (f * lam[:, :-1]).sum(axis=1) + lam[:, -1] / (v + 1.0)
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[place])
+        base, own = sums(np.log10((total[0] + 1.0) / (n + v + 1.0))), sums(np.log10(p) if n else np.zeros(len(p)))
+        each = np.diff(place)
+        return pa.table([lists["ids"], pa.array(lists["held"]), pa.array(each), pa.array(sums(total[0] > 0)), pa.array(np.full(len(each), n, np.int64)), pa.array(base), pa.array(own)], names=[x.name for x in out])
+
+    return answers.cogroup(rows.groupBy("block")).applyInArrow(finish, out)

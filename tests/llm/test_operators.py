@@ -233,23 +233,69 @@ def test_op4(spark, texts):
         assert math.isclose(g["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
     held = [k for k in texts if crc(k, 7) == 2]
     assert sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
-    # The model's own formula, with the pair counts.
-    pairs = Counter(p for k in train for p in zip([b"", *tok[k]], tok[k]))
-    tables = lm.Tables(spark, "test")
-    one = by_id(lm.score(spark.read.parquet(f"{SF}/documents.parquet"), block_bytes=50_000, tables=tables))
-    assert all(math.isclose(one[k]["score"], got[k]["score"], rel_tol=1e-9) for k in texts)
-    bins = Counter()
-    for r in spark.read.parquet(f"{tables.root}/counts").select("bins", "hits").collect():
-        bins.update(dict(zip(r["bins"], r["hits"])))
-    lam = lm.weights(np.array(sorted(bins)), np.array([bins[x] for x in sorted(bins)], float))
-    for k in list(texts)[:40]:
-        total, before = 0.0, b""
-        for w in tok[k]:
-            cv = len(train) if before == b"" else c[before]
-            a = lam[lm.bucket(np.array([cv]))[0]]
-            total += math.log10(a[0] * pairs[(before, w)] / max(cv, 1) + a[1] * c[w] / n + a[2] / (v + 1))
-            before = w
-        assert math.isclose(total, got[k]["score"], rel_tol=1e-9)
+    # All of the model by plain counting: n-grams, held-out counts, weights, mixture.
+    one = by_id(lm.score(spark.read.parquet(f"{SF}/documents.parquet"), block_bytes=50_000))
+    want = interpolated({k: [w.decode() if w else w for w in x] for k, x in tok.items()})
+    for k in tok:
+        assert math.isclose(one[k]["score"], got[k]["score"], rel_tol=1e-9)
+        assert math.isclose(got[k]["score"], want[k], rel_tol=1e-6)
+
+
+def interpolated(tok):
+    """Scores by dictionaries of n-grams; texts are lists of tokens that end with None."""
+    padded = {k: ["<", "<", *t] for k, t in tok.items()}
+    learn, apart = ([k for k in tok if test(crc(k, 7))] for test in (lambda r: r != 2, lambda r: r == 3))
+
+    def counted(keys):
+        return [Counter(tuple(padded[k][i - o : i + 1]) for k in keys for i in range(2, len(padded[k]))) for o in range(3)]
+
+    def token(c, texts, n, x, i):
+        f, by = [c[0][(x[i],)] / max(n, 1)], 0
+        for o in (1, 2):
+            cx = texts if i == 2 else c[o - 1][tuple(x[i - o : i])]
+            f.append(c[o][tuple(x[i - o : i + 1])] / max(cx, 1))
+            if cx:
+                by = (o - 1) * 24 + (cx if cx <= 4 else min(23, 3 + int(math.log2(cx))))
+        return by, f[::-1]
+
+    every, out = counted(learn), counted(apart)
+    left = [Counter({g: c[g] - h[g] for g in c}) for c, h in zip(every, out)]
+    v = len(every[0])
+    seen = []
+    for k in apart:
+        for i in range(2, len(padded[k])):
+            by, f = token(left, len(learn) - len(apart), sum(left[0].values()), padded[k], i)
+            seen.append((by, [2.0 ** (round(2 * math.log2(x * (v + 1))) / 2) if x else 0.0 for x in f] + [1.0]))
+    lam = {}
+    for by in range(48):
+        may = [by >= 24, by > 0, True, True]
+        start = lam[by] = [m / sum(may) for m in may]
+        kinds = Counter(tuple(f) for b, f in seen if b == by)
+        for _ in range(200 if kinds else 0):
+            new = list(start)
+            for f, n in kinds.items():
+                total = sum(a * x for a, x in zip(lam[by], f))
+                for j in range(4):
+                    new[j] += n * lam[by][j] * f[j] / total
+            lam[by] = [x / sum(new) for x in new]
+    n = sum(every[0].values())
+    scores = {}
+    for k, x in padded.items():
+        scores[k] = 0.0
+        for i in range(2, len(x)):
+            by, f = token(every, len(learn), n, x, i)
+            scores[k] += math.log10(sum(a * y for a, y in zip(lam[by], [*f, 1 / (v + 1)])))
+    return scores
+
+
+def test_op4_tells_regular_words_apart(spark):
+    """Words that a polynomial hash takes for one, and a corpus whose probabilities add up to 1."""
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    pair = bits, bits.translate(str.maketrans("ab", "ba"))
+    ids = [k for k in range(100) if crc(k, 7) not in (2, 3)][:4]
+    rows = [(ids[0], pair[0]), (ids[1], pair[0]), (ids[2], "x"), (next(k for k in range(100) if crc(k, 7) == 2), pair[1])]
+    got = by_id(lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [got[k]["n_known"] for k, _ in rows] == [2, 2, 2, 1] and got[ids[0]]["train_tokens"] == 6
 
 
 # 5
