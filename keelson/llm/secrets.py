@@ -15,6 +15,10 @@ null text is an empty one. Equal rows give equal results. Empty tables give empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,39 +38,77 @@ _NAME = "(?<![A-Za-z0-9])"
 _SET = """["']?\\x20*[:=]\\x20*["']?"""
 WEAK = {
     "weak_id": (f"{_HEAD}AKIA[A-Z0-9]{{8,15}}{_TAIL}|{_NAME}(?i:user(?:name)?|login|account|client_?id|access_?key_?id){_SET}[A-Za-z0-9_.@-]{{3,}}", 0, 3, "id"),
-    "weak_secret": (f"{_NAME}(?i:pwd|pass|passphrase|auth|credential|private_?key|secret_?key){_SET}[A-Za-z0-9+/_.=-]{{6,}}|{_HEAD}[0-9a-f]{{16,23}}{_TAIL}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{{0,39}}[0-9])(?=[A-Za-z0-9+/]{{0,39}}[A-Z])(?=[A-Za-z0-9+/]{{0,39}}[a-z])[A-Za-z0-9+/]{{40}}(?![A-Za-z0-9+/=])", 0, 6, "secret"),
+    "weak_secret": (f"{_NAME}(?i:pwd|pass|passphrase|auth|credential|private_?key|secret_?key){_SET}[A-Za-z0-9+/_.=-]{{6,}}|{_HEAD}[0-9a-f]{{16,23}}{_TAIL}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{{40}}(?![A-Za-z0-9+/=]))(?=[A-Za-z0-9+/]{{0,39}}[0-9])(?=[A-Za-z0-9+/]{{0,39}}[A-Z])(?=[A-Za-z0-9+/]{{0,39}}[a-z])[A-Za-z0-9+/]{{40}}", 0, 6, "secret"),
     "endpoint": (f"""{_HEAD}[a-z][a-z0-9+.-]{{1,15}}://[^\\x20\\x09-\\x0D"'<>]{{3,}}|{_NAME}(?i:host|endpoint|server){_SET}[A-Za-z0-9_.:-]{{3,}}""", 0, 3, "endpoint"),
 }
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: v[3] for k, v in WEAK.items()}
 KINDS = [*STRONG, *WEAK]
 #: For each role, the roles that complement it.
 COMPLEMENT = {"id": ["secret"], "secret": ["id", "endpoint"], "endpoint": ["secret"]}
+#: A run so long that it may be a key; it is looked for from the run's start only.
+LONG_RUN = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16}"
 REACH = 200
+#: Spans that a fold holds in one growing list, and code points of a piece that a text is cut into.
+CHUNK, PIECE = 256, 1024
 #: Rows of equal texts are joined to the text's links in so many tasks.
 SALTS = 16
 HASHED = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DatetimeType)
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def folded(items: Column, start: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Everything that a fold over an array puts out, without copying all that came before at each step.
+
+    step takes (state `at`, list `out`) and an item and gives both anew. Items go in chunks: a list grows
+    within its chunk only, and the chunks' lists are joined once.
+    """
+    none = F.array().cast(kind)
+
+    def chunk(a: Column, c: Column) -> Column:
+        return F.aggregate(c, F.struct(a["at"].alias("at"), none.alias("out")), step, lambda r: F.struct(r["at"].alias("at"), F.concat(a["lists"], F.array(r["out"])).alias("lists")))
+
+    def over(every: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")), lambda k: F.slice(every, k * CHUNK + 1, F.lit(CHUNK)))
+        every_list = F.aggregate(chunks, F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("lists")), chunk, lambda a: F.flatten(a["lists"]))
+        return F.when(F.size(every) > 0, every_list).otherwise(none)
+
+    return let(items, over)
+
+
+def hinted(text: Column, lower: Column, long: Column, kind: str) -> Column:
+    """Whether a text may have a kind's spans: plain searches that most texts fail, before any pattern runs."""
+    names = lambda *words: reduce(or_, (lower.contains(w) for w in words))
+    sign = lower.contains("=") | lower.contains(":")
+    return {
+        "assign": sign & names("passw", "secret", "token", "apikey", "api_key"),
+        "access": text.contains("AKIA"),
+        "hex": long,
+        "weak_id": text.contains("AKIA") | sign & names("user", "login", "account", "client", "access"),
+        "weak_secret": long | sign & names("pwd", "pass", "auth", "credential", "key"),
+        "endpoint": text.contains("://") | sign & names("host", "endpoint", "server"),
+    }[kind]
+
+
+def spans_of(text: Column, hint: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """All spans of a pattern: what lies between matches is a split's pieces, so places are sums of lengths."""
     full = F.lit(f"({pattern})")
-    matches = F.regexp_extract_all(text, full, F.lit(0))
-    lengths = F.transform(matches, F.char_length)
+    lengths = F.transform(F.regexp_extract_all(text, full, F.lit(0)), F.char_length)
     gaps = F.transform(F.split(text, f"({pattern})", -1), F.char_length)
     value = F.transform(F.regexp_extract_all(text, full, F.lit(group + 1)), F.char_length) if group else lengths
-    folded = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), lengths.alias("length"), value.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["length"], F.lit(0))).alias("at"),
-            F.when(
-                x["value"] >= least,
-                F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["length"]).alias("end")))),
-            ).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(SPAN))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.coalesce(x["gap"], F.lit(0))
+        end = start + F.coalesce(x["length"], F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    every = folded(F.arrays_zip(gaps.alias("gap"), lengths.alias("length"), value.alias("value")), F.lit(0), SPAN, step)
+    return F.when(hint & text.rlike(pattern), every).otherwise(F.array().cast(SPAN))
 
 
 def listed(spans: Column) -> Column:
@@ -74,13 +116,18 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def found_in(df: DataFrame, text_col: str) -> DataFrame:
+    """df with the spans of all kinds of its texts, each in a column of two underscores and the kind's name."""
+    rows = df.withColumn("__plain", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumns({"__lower": F.lower("__plain"), "__long": F.col("__plain").rlike(LONG_RUN)})
+    text, lower, long = F.col("__plain"), F.col("__lower"), F.col("__long")
+    return rows.withColumns({f"__{k}": spans_of(text, hinted(text, lower, long, k), k, *v[:3]) for k, v in (STRONG | WEAK).items()})
+
+
 def candidates(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """keep, text key, strong and weak spans of each row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(*keep, text.alias("__text"))
-    strong = [spans_of(F.col("__text"), k, *v) for k, v in STRONG.items()]
-    weak = [spans_of(F.col("__text"), k, *v[:3]) for k, v in WEAK.items()]
-    return rows.withColumns({**{f"__{k}": s for k, s in zip(STRONG, strong, strict=True)}, "weak": F.concat(*weak), "key": F.sha2(F.encode("__text", "UTF-8"), 256)})
+    """keep (renamed by place), __key of the text, strong and weak spans of each row."""
+    rows = found_in(df.select(*(F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)), F.col(text_col).alias("__text")), "__text")
+    weak = F.concat(*(F.col(f"__{k}") for k in WEAK))
+    return rows.select(*(f"__keep{k}" for k in range(len(keep))), *(f"__{k}" for k in STRONG), weak.alias("__weak"), F.sha2(F.encode("__plain", "UTF-8"), 256).alias("__key"))
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
@@ -124,18 +171,34 @@ def with_links(found: DataFrame, links: DataFrame, key: str, weak: str, spread:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), reach: int = REACH) -> DataFrame:
-    """(id, *keep, assign, access, hex, linked): arrays of spans (start, rank, kind, end) of each row's whole text."""
-    found = Tables(df.sparkSession, "secrets").keep(candidates(df, text_col, [id_col, *keep]).drop("__text"), "spans")
-    return attach(found, [id_col, *keep], reach)
-
+    """(id, *keep, assign, access, hex, linked): arrays of spans (start, rank, kind, end) of each row's whole text.
 
-def attach(found: DataFrame, keep: list[str], reach: int = REACH) -> DataFrame:
+    What is kept may have any names; they come first, in their order.
+    """
+    head = [id_col, *keep]
+    found = Tables(df.sparkSession, "secrets").keep(candidates(df, text_col, head), "spans")
     strong = F.concat(*(F.col(f"__{k}") for k in STRONG))
-    links = linked(found.select("key", "weak", strong.alias("strong")), reach)
+    links = linked(found.select(F.col("__key").alias("key"), F.col("__weak").alias("weak"), strong.alias("strong")), reach)
+    own = [f"__keep{k}" for k in range(len(head))]
+    joined = with_links(found, links, "__key", "__weak", atomic(found.select(*own)))
     # A candidate within a strong span is already reported.
-    covered = lambda x: F.exists(strong, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    weak = F.filter(F.coalesce("__linked", F.array().cast(SPAN)), lambda x: ~covered(x))
-    return with_links(found, links, "key", "weak", atomic(found.select(*keep))).select(*keep, *(F.col(f"__{k}").alias(k) for k in STRONG), weak.alias("linked"))
+    weak = uncovered(F.coalesce("__linked", F.array().cast(SPAN)), strong)
+    return joined.select(*(F.col(o).alias(c) for o, c in zip(own, head, strict=True)), *(F.col(f"__{k}").alias(k) for k in STRONG), weak.alias("linked"))
+
+
+def uncovered(weak: Column, strong: Column) -> Column:
+    """The weak spans that overlap no strong one, by two folds over all in order: strong ones before, then behind."""
+    is_weak = lambda x: x["rank"] >= len(STRONG)
+
+    def fold(spans: Column, order: Callable[[Column], Column], start: int, free, bound) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            return F.struct(F.when(is_weak(x), a["at"]).otherwise(bound(a["at"], x)).alias("at"), F.when(is_weak(x) & free(a["at"], x), F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
+
+        return folded(order(F.array_sort(F.concat(strong, spans))), F.lit(start), SPAN, step)
+
+    ahead = fold(weak, lambda x: x, 0, lambda at, x: x["start"] >= at, lambda at, x: F.greatest(at, x["end"]))
+    both = fold(ahead, F.reverse, 2**31 - 1, lambda at, x: x["end"] <= at, lambda at, x: x["start"])
+    return F.when((F.size(weak) > 0) & (F.size(strong) > 0), both).otherwise(weak)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -143,35 +206,50 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(F.col(id_col), *(F.size(k).cast("long").alias(f"n_{k}") for k in STRONG), F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.concat(base, "linked")).alias("spans"))
 
 
+def without(text: Column, cuts: Column, mark: str) -> Column:
+    """A text with each run of overlapping cuts replaced by a mark.
+
+    What stays is put together from pieces of bounded length, so a place far into a text costs no more than one near its start.
+    """
+    kept = lambda every: folded(every, F.lit(0), "array<struct<a:int,b:int>>", lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(F.struct(a["at"].alias("a"), x["start"].alias("b"))))).otherwise(a["out"]).alias("out")))
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        return F.when(b > a, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), a % PIECE + 1, b - a)).otherwise("")
+
+    def whole(pieces: Column) -> Column:
+        end = F.array_max(F.transform(cuts, lambda x: x["end"]))
+        return F.concat(F.array_join(F.transform(kept(cuts), lambda k: F.concat(part(pieces, k["a"], k["b"]), F.lit(mark))), ""), part(pieces, end, F.char_length(text)))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), whole)
+
+
 def redacted(df: DataFrame, mark: str, text_col: str = "text", count_col: str = "n_chars", reach: int = REACH) -> DataFrame:
     """df's rows and columns with each secret and identifier found replaced by a mark; overlapping spans by one.
 
     Endpoints stay. Where a text changes, count_col, if there, gets its new number of code points.
-    A null text stays null.
+    A null text stays null. Columns may have any names. The texts and their spans are written once, and stay in the shared folder.
     """
-    tables = Tables(df.sparkSession, "redaction")
-    text = F.col(text_col).cast("string")
-    # Texts without any span aren't joined to anything but their own row.
-    strong = [spans_of(F.coalesce(text, F.lit("")), k, *v) for k, v in STRONG.items()]
-    weak = [spans_of(F.coalesce(text, F.lit("")), k, *v[:3]) for k, v in WEAK.items()]
-    found = tables.keep(df.withColumns({"__strong": F.concat(*strong), "__weak": F.concat(*weak)}).withColumn("__key", F.when(F.size("__weak") > 0, F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))), "spans")
+    tables, names = Tables(df.sparkSession, "redaction"), df.columns
+    own = [f"__own{k}" for k in range(len(names))]
+    at = own[names.index(text_col)]
+    found = found_in(df.toDF(*own), at)
+    weak = F.concat(*(F.col(f"__{k}") for k in WEAK))
+    # Texts without a weak candidate need no key: they aren't joined to anything.
+    key = F.when(F.size(weak) > 0, F.sha2(F.encode("__plain", "UTF-8"), 256))
+    found = tables.keep(found.select(*own, F.concat(*(F.col(f"__{k}") for k in STRONG)).alias("__strong"), weak.alias("__weak"), key.alias("__key")), "spans")
     links = linked(found.where("__key is not null").select(F.col("__key").alias("key"), F.col("__weak").alias("weak"), F.col("__strong").alias("strong")), reach)
-    joined = with_links(found, links, "__key", "__weak", atomic(df))
+    joined = with_links(found, links, "__key", "__weak", atomic(df.toDF(*own)))
     wanted = F.filter(F.coalesce("__linked", F.array().cast(SPAN)), lambda x: x["kind"] != "endpoint")
-    cuts = F.array_sort(F.concat("__strong", wanted))
-    step = lambda a, x: F.struct(
-        F.greatest(a["at"], x["end"]).alias("at"),
-        F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)))).otherwise(a["out"]).alias("out"),
-    )
-    folded = F.aggregate(cuts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    changed = F.size(cuts) > 0
-    out = joined.withColumn("__new", F.when(changed, folded).otherwise(text)).withColumn("__changed", changed)
+    text = F.col(at).cast("string")
+    out = joined.withColumn("__cuts", F.array_sort(F.concat("__strong", wanted)))
+    out = out.withColumn("__new", F.when(F.size("__cuts") > 0, without(text, F.col("__cuts"), mark)).otherwise(text))
     columns = []
-    for c in df.columns:
+    for o, c, kind in zip(own, names, (f.dataType for f in df.schema), strict=True):
         if c == text_col:
             columns.append(F.col("__new").alias(c))
         elif c == count_col:
-            columns.append(F.when(F.col("__changed"), F.char_length("__new")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c))
+            columns.append(F.when(F.size("__cuts") > 0, F.char_length("__new")).otherwise(F.col(o)).cast(kind).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col(o).alias(c))
     return out.select(*columns)

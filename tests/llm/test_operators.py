@@ -157,6 +157,8 @@ SECRET_TEXTS = [
     None,
     "",
     "user=al pwd=secret99 " * 3000,
+    "🙂" * 1500 + " password=abcdef " + "é🙂" * 1100 + "token: ghijklm" + "🙂x" * 700,
+    "token=abcdef9 user=alice " * 600 + "token=" + "AKIA" * 8,
 ]
 
 
