@@ -1,14 +1,13 @@
 """Best-fit packing of token sequences by bin completion.
 
 Lengths are whole numbers up to the capacity, so a packing problem of any size is a histogram of at
-most `capacity` counts. The driver solves that: bin completion branches over the fillings around
-the longest length left, undominated ones only, least waste first, and takes a filling as often as
-its counts allow; a branch ends when its waste proves that it can't beat the incumbent, which
-best-fit decreasing gives first. The plan has a few thousand kinds
-of filling at most (each use of one ends a length or a bin) with a few tens of lengths in each,
-whatever the number of pieces, so it's broadcast. Pieces get their place by rank among pieces of equal length;
-ranks come from small (length, bucket) groups and prefix sums, so a length that a third of all
-pieces share is spread over all buckets.
+most `capacity` counts. The driver solves that: best-fit decreasing gives the first incumbent, and bin
+completion looks for fewer bins by branching over the undominated fillings around the longest length
+left, least waste first; a branch ends where the bins it aims at can't afford its waste. The plan has a
+few thousand kinds of filling at most (each use of one ends a length or a bin) with a few tens of
+lengths in each, whatever the number of pieces, so it's broadcast. Pieces get their place by rank among
+pieces of equal length; ranks come from small (length, bucket) groups and prefix sums, so a length
+that a third of all pieces share is spread over all buckets.
 
 Nulls: a null text is an empty one (its end id alone). Equal rows are packed each for itself. An
 empty table gives an empty one.
@@ -19,7 +18,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,130 +70,177 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [x for gap in by_gap for x in by_gap[gap]]
 
 
-def dominated(filling: tuple[int, ...], slack: int, lengths: list[int], counts: dict[int, int]) -> bool:
-    """Whether some of its items could give way to one longer item that still fits (Martello and Toth)."""
-    sums = {0: 0}
-    for x in filling[:8]:
-        for s, n in list(sums.items()):
-            sums.setdefault(s + x, n + 1)
-    for s, n in sums.items():
-        if not n:
-            continue
-        k = bisect.bisect_right(lengths, s + slack) - 1
-        while k >= 0 and lengths[k] >= s:
-            y = lengths[k]
-            if (y > s or n > 1) and counts[y] > filling.count(y):
-                return True
-            k -= 1
-            if y <= s:
-                break
-    return False
-
-
-def completions(longest: int, lengths: list[int], counts: dict[int, int], capacity: int, nodes: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings around the longest item as (waste, other items), least waste first.
-
-    The search goes over lengths in falling order and ends after so many nodes; it has at least the
-    greedy filling by then.
+def dominated(filling: tuple[int, ...], waste: int, free: int) -> bool:
+    """Whether some of the items could give way to one longer item, or several to one as long, that still fits (Martello and Toth).
+
+    free: the lengths of which an item is left beside the filling, as bits. All sets of items are looked at, as bits of their sums.
+    """
+    some, several = 0, 0
+    for x in filling:
+        several |= several << x | some << x
+        some |= some << x | 1 << x
+    longer, width = some << 1, 1
+    while width < waste:
+        step = min(width, waste - width)
+        longer |= longer << step
+        width += step
+    return bool(free & several or waste and free & longer)
+
+
+def reachable(lengths: list[int], counts: dict[int, int], capacity: int) -> list[int]:
+    """For each number of lengths from the shortest, the sums that their items can make up, as bits."""
+    out, every = [1], (1 << capacity + 1) - 1
+    for x in lengths:
+        bits, left, step = out[-1], min(counts[x], capacity // x), 1
+        while left:
+            step = min(step, left)
+            bits |= bits << x * step & every
+            left, step = left - step, step * 2
+        out.append(bits)
+    return out
+
+
+class Search:
+    """Bin completion: whether all items fit in so many bins, by depth-first search within a budget of steps.
+
+    Each node fills the bin of the longest item left. Fillings come in falling order, least waste first;
+    only undominated ones whose waste the bins can still afford are tried, each for as many bins as
+    its counts allow, and on return for fewer. Bins that begin with the same item come in one order.
     """
-    found: dict[tuple[int, ...], int] = {}
-    seen = 0
-    best = capacity
-
-    def search(filling: tuple[int, ...], room: int, top: int) -> None:
-        nonlocal seen, best
-        seen += 1
-        k = bisect.bisect_right(lengths, min(room, top)) - 1
-        grown = False
-        while k >= 0:
-            x = lengths[k]
-            if counts[x] - filling.count(x) - (x == longest) > 0:
-                grown = True
-                search((*filling, x), room - x, x)
-                if seen >= nodes or best == 0 and len(found) >= most:
+
+    def __init__(self, counts: dict[int, int], capacity: int, budget: int):
+        self.counts, self.capacity, self.budget = dict(counts), capacity, budget
+        self.lengths = sorted(counts)
+        self.top = len(self.lengths) - 1
+        # The best packing met whose last bins, beyond a dead end, are best-fit; and how few items were.
+        self.best: Plan | None = None
+        self.loose = sum(counts.values())
+
+    def complete(self, trail: list[list]) -> None:
+        """At a dead end with fewer items left than at any before: pack them best-fit."""
+        left = sum(self.counts.values())
+        if left < self.loose:
+            self.loose = left
+            plan = [((n[1], *n[3][1]), n[4]) for n in trail if n[3] is not None and n[4]]
+            plan += best_fit_decreasing({x: n for x, n in self.counts.items() if n}, self.capacity)
+            if self.best is None or sum(n for _, n in plan) < sum(n for _, n in self.best):
+                self.best = plan
+
+    def fillings(self, longest: int, most: int, after: tuple[int, tuple[int, ...]] | None) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(waste, other items) of undominated fillings that waste at most so much, later than `after`."""
+        room = self.capacity - longest
+        counts = {x: self.counts[x] - (x == longest) for x in self.lengths[: bisect.bisect_right(self.lengths, min(room, longest))]}
+        here = [x for x, n in counts.items() if n]
+        self.budget -= len(here)
+        sums = reachable(here, counts, room)
+        free = sum(1 << x for x in here)
+        for waste in range(after[0] if after else 0, min(most, room) + 1):
+            if not sums[-1] >> room - waste & 1:
+                continue
+            # (items so far, sum left, place of the longest that may follow)
+            stack = [((), room - waste, len(here) - 1)]
+            while stack:
+                items, left, k = stack.pop()
+                self.budget -= 1
+                if self.budget <= 0:
                     return
-                if x * 2 <= room and best <= x:  # smaller first items only help with less waste than is known
-                    pass
-            k -= 1
-        if not grown:
-            best = min(best, room)
-            if filling not in found:
-                found[filling] = room
-
-    search((), capacity - longest, longest)
-    if not found:
-        found[()] = capacity - longest
-    ranked = sorted((w, f) for f, w in found.items())
-    keep = [x for x in ranked[: 4 * most] if not dominated(x[1], x[0], lengths, counts)]
-    return (keep or ranked)[:most]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, width: int = 3) -> Plan:
-    """A packing of a histogram of lengths; proven optimal where the waste bound closes.
-
-    nodes bounds the whole search (branches taken), width the fillings tried at a branch. Whatever
-    remains when the bound is reached is packed best-fit, so the result is always whole.
+                if not left:
+                    used_up = sum(1 << x for x in set(items) if items.count(x) == counts[x])
+                    late = after is None or (waste, tuple(-x for x in items)) > (after[0], tuple(-x for x in after[1]))
+                    if late and not dominated(items, waste, free & ~used_up):
+                        yield waste, items
+                    continue
+                # The longest length that may follow goes first; shorter ones only where they can make up the rest.
+                k = min(k, bisect.bisect_right(here, left) - 1)
+                if k < 0 or not sums[k + 1] >> left & 1:
+                    continue
+                x = here[k]
+                stack.append((items, left, k - 1))
+                if counts[x] > items.count(x):
+                    stack.append(((*items, x), left - x, k))
+
+    def run(self, bins: int) -> Plan | None:
+        """A plan of so many bins or fewer; None if there is none, or if the budget is used up."""
+        allowed = bins * self.capacity - sum(k * n for k, n in self.counts.items())
+        if allowed < 0:
+            return None
+        # (fillings to come, item, waste allowed, filling in use, times, most)
+        trail: list[list] = []
+
+        def open_node(waste_left: int, before: tuple | None) -> bool:
+            while self.lengths and not self.counts[self.lengths[self.top]]:
+                if self.top == 0:
+                    return False
+                self.top -= 1
+            longest = self.lengths[self.top]
+            after = before[1] if before and before[0] == longest else None
+            trail.append([self.fillings(longest, waste_left, after), longest, waste_left, None, 0, self.top])
+            return True
+
+        if not open_node(allowed, None):
+            return []
+        while trail:
+            if self.budget <= 0:
+                return None
+            node = trail[-1]
+            longest, waste_left = node[1], node[2]
+            self.top = node[5]
+            if node[3] is not None and node[4]:
+                # Give one bin back; the filling may be of use fewer times.
+                for x in (longest, *node[3][1]):
+                    self.counts[x] += 1
+                node[4] -= 1
+            if node[3] is None or not node[4]:
+                following = next(node[0], None)
+                if following is None:
+                    if node[3] is None:
+                        self.complete(trail)
+                    trail.pop()
+                    continue
+                waste, items = following
+                need: dict[int, int] = defaultdict(int)
+                for x in (longest, *items):
+                    need[x] += 1
+                times = min(self.counts[x] // n for x, n in need.items())
+                if waste:
+                    times = min(times, waste_left // waste)
+                for x, n in need.items():
+                    self.counts[x] -= n * times
+                node[3], node[4] = following, times
+            if not open_node(waste_left - node[3][0] * node[4], (longest, node[3])):
+                return [((n[1], *n[3][1]), n[4]) for n in trail]
+        return None
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, budget: int = 8_000_000) -> tuple[Plan, bool]:
+    """A packing of a histogram of lengths, and whether it's proven that fewer bins don't do.
+
+    Best-fit decreasing gives the first incumbent, the total the least number of bins. Between the two bin
+    completion looks for better incumbents: first in the least number, then halfway between what is
+    excluded and the incumbent. The budget of steps, of which each search gets an eighth of what is left,
+    is the only bound. Where a search uses its share up its number of bins isn't excluded, so
+    the result isn't called proven; it is always whole.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
-        return []
-    total = sum(k * n for k, n in counts.items())
-    least = -(-total // capacity)
-    incumbent = best_fit_decreasing(counts, capacity)
+        return [], True
     number = lambda plan: sum(n for _, n in plan)
-    spent = 0
-
-    def solve(counts: dict[int, int], lengths: list[int], plan: Plan, used: int, wasted: int) -> bool:
-        """Explore in depth; true when the incumbent is as good as the bound."""
-        nonlocal incumbent, spent
-        trail: list[tuple[dict[int, int], list[int], Plan, int, int, list]] = []
-        while True:
-            while lengths:
-                spent += 1
-                if spent > nodes:
-                    rest = best_fit_decreasing({k: counts[k] for k in lengths}, capacity)
-                    if used + number(rest) < number(incumbent):
-                        incumbent = plan + rest
-                    return True
-                longest = lengths[-1]
-                options = completions(longest, lengths, counts, capacity, 300, width)
-                if len(options) > 1 and len(trail) < 64:
-                    trail.append((dict(counts), list(lengths), list(plan), used, wasted, options[1:]))
-                waste, filling = options[0]
-                counts, lengths, plan, used, wasted = take(counts, lengths, plan, used, wasted, waste, (longest, *filling))
-                if -(-(total + wasted) // capacity) >= number(incumbent):
-                    break
-            else:
-                if used < number(incumbent):
-                    incumbent = plan
-                if number(incumbent) <= least:
-                    return True
-            while trail:
-                c, lens, p, u, w, options = trail[-1]
-                waste, filling = options.pop(0)
-                if not options:
-                    trail.pop()
-                longest = lens[-1]
-                counts, lengths, plan, used, wasted = take(dict(c), list(lens), list(p), u, w, waste, (longest, *filling))
-                if -(-(total + wasted) // capacity) < number(incumbent):
-                    break
-            else:
-                return True
-
-    def take(counts, lengths, plan, used, wasted, waste, filling):
-        need: dict[int, int] = defaultdict(int)
-        for x in filling:
-            need[x] += 1
-        times = min(counts[x] // n for x, n in need.items())
-        for x, n in need.items():
-            counts[x] -= times * n
-            if not counts[x]:
-                lengths.remove(x)
-        return counts, lengths, [*plan, (filling, times)], used + times, wasted + times * waste
-
-    if number(incumbent) > least:
-        solve(dict(counts), sorted(counts), [], 0, 0)
-    return incumbent
+    incumbent = best_fit_decreasing(counts, capacity)
+    bins = least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    proven = True
+    while least < number(incumbent):
+        share = max(1, budget // 8)
+        search = Search(counts, capacity, share)
+        found = search.run(bins)
+        budget -= share - max(0, search.budget)
+        if found is None:
+            proven = proven and search.budget > 0
+            least = bins + 1
+            found = search.best
+        if found is not None and number(found) < number(incumbent):
+            incumbent = found
+        bins = (least + number(incumbent)) // 2
+    return incumbent, proven
 
 
 def segments(plan: Plan) -> dict[str, np.ndarray]:
@@ -275,7 +321,7 @@ def pack(pieces_df: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY,
     kept = tables.keep(pieces_df, "pieces")
     names = kept.columns
     counts = {r["length"]: r["count"] for r in kept.groupBy("length").count().collect()}
-    plan = spark.sparkContext.broadcast(segments(bin_completion(counts, capacity)))
+    plan = spark.sparkContext.broadcast(segments(bin_completion(counts, capacity)[0]))
     rows = ranked(kept, id_col)
     schema = extended(kept.schema, sequence_id="bigint", offset="bigint")
 

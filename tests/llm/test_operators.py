@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd and empty tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -445,14 +446,43 @@ def test_bin_completion_is_optimal_on_small_problems():
         return best
 
     worse = 0
-    for _ in range(60):
+    for _ in range(200):
         items = sorted(rng.integers(1, 31, rng.integers(1, 10)).tolist(), reverse=True)
-        plan = packing.bin_completion(dict(Counter(items)), 30)
+        plan, proven = packing.bin_completion(dict(Counter(items)), 30)
+        assert proven
         got = Counter(x for f, n in plan for x in f for _ in range(n))
         assert got == Counter(items) and all(sum(f) <= 30 for f, _ in plan)
         worse += sum(n for _, n in plan) - fewest(items, 30)
     assert worse == 0
-    assert packing.bin_completion({}) == []
+    assert packing.bin_completion({}) == ([], True)
+
+
+@pytest.mark.parametrize("m, gap", [(20, 1), (60, 1), (200, 5)])
+def test_triplets(m, gap):
+    """Three items fill each bin exactly, the hardest case; best-fit decreasing is far off."""
+    rng = np.random.default_rng(1)
+    items = []
+    for _ in range(m):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers(512, (2048 - a) // 2 + 1))
+        items += [a, b, 2048 - a - b]
+    counts = Counter(items)
+    plan, proven = packing.bin_completion(dict(counts), 2048)
+    assert Counter(x for f, n in plan for x in f for _ in range(n)) == counts and all(sum(f) <= 2048 for f, _ in plan)
+    got = sum(n for _, n in plan)
+    assert m <= got <= m + gap and (not proven or got == m)
+    assert got < sum(n for _, n in packing.best_fit_decreasing(dict(counts), 2048))
+
+
+def test_dominated_fillings():
+    """Against all sets of items and all free lengths."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        filling, waste = tuple(sorted(rng.integers(1, 12, rng.integers(1, 6)).tolist(), reverse=True)), int(rng.integers(0, 4))
+        free = set(rng.integers(1, 25, 3).tolist())
+        sums = [(sum(x), len(x)) for k in range(1, len(filling) + 1) for x in itertools.combinations(filling, k)]
+        want = any(s < y <= s + waste or s == y and n > 1 for s, n in sums for y in free)
+        assert packing.dominated(filling, waste, sum(1 << y for y in free)) == want
 
 
 # 8, 10
