@@ -18,13 +18,18 @@ are queued each for itself. Without any word, everything is 0. Empty tables give
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Tables
+from keelson.llm.common import atomic, digests, own_names, Tables
 
 WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2
 PER_BUCKET = 20_000
+#: Rows of a table that is broadcast.
+FEW = 100_000
 #: Fixed value: a word.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -82,40 +87,61 @@ def shuffled(id_col: str, seed: int) -> Column:
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), shuffled(id_col, seed).alias("shuffle"))
+    """(id, source, size, shuffle, d1, d2): what the queue needs of each row; rows that agree in all are equal to it."""
+    d1, d2 = digests(text_col)
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), shuffled(id_col, seed).alias("shuffle"), d1.alias("d1"), d2.alias("d2"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: int = 17, tables: Tables | None = None) -> DataFrame:
     """(id, size, source, source_size, target, passes, taken) for each row: how often the mix takes it, and its words in the mix."""
     tables = tables or Tables(df.sparkSession, "mixing")
     rows = tables.keep(sized(df, id_col, text_col, source_col, seed), "sizes")
-    return queue(rows, weights, budget, cap).withColumnRenamed("id", id_col)
+    return queue(rows, weights, budget, cap).drop("d1", "d2").withColumnRenamed("id", id_col)
+
+
+def same_row(left: list[str], right: list[str]) -> Column:
+    """Whether id, source and the two hashes of the text agree."""
+    pairs = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left[:2], right[:2], strict=True)]
+    return reduce(and_, pairs + [F.col(a) == F.col(b) for a, b in zip(left[2:], right[2:], strict=True)])
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: int = 17, tables: Tables | None = None) -> DataFrame:
-    """df's own rows and columns as the mix takes them: each as often as it has passes. Rows without words are not taken."""
+    """df's own rows and columns, which may have any names, as the mix takes them: each as often as it has passes.
+
+    Rows without words are not taken. Rows of equal id, source and text share their passes; which of them
+    is taken more often goes by a hash of their other columns. Texts are shuffled once.
+    """
     tables = tables or Tables(df.sparkSession, "mixing")
     rows = tables.keep(sized(df, id_col, text_col, source_col, seed), "sizes")
-    mixed = tables.keep(queue(rows, weights, budget, cap), "passes")
-    total = mixed.groupBy("id", "source", "size").agg(F.count("*").alias("__copies"), F.sum("passes").alias("__passes")).where("__passes > 0")
-    total = total.select(F.col("id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), "__copies", "__passes")
-    joined = df.join(total, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__s")) & (word_count(text_col) == F.col("__n")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__s", "__n").orderBy("__copies"))
-    own = F.floor(F.col("__passes") / F.col("__copies")) + F.when(nth <= F.col("__passes") % F.col("__copies"), 1).otherwise(0)
-    each = joined.withColumn("__own", own.cast("int")).where("__own > 0")
-    return each.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*(df[c] for c in df.columns))
+    key = ["id", "source", "d1", "d2"]
+    total = tables.keep(queue(rows, weights, budget, cap).groupBy(key).agg(F.count("*").alias("copies"), F.sum("passes").alias("passes")).where("passes > 0"), "passes")
+    docs, own = own_names(df)
+    d1, d2 = digests(own[text_col])
+    mine = ["__id", "__source", "__d1", "__d2"]
+    docs = docs.withColumns(dict(zip(mine, (F.col(own[id_col]), F.col(own[source_col]).cast("string"), d1, d2), strict=True)))
+    alone, shared = total.where("copies = 1"), total.where("copies > 1")
+    out = docs.join(alone, same_row(mine, key)).withColumn("__times", F.col("passes"))
+    number = shared.count()
+    if number:
+        # Rows that come several times over are looked for beside all others only where there are any.
+        some = docs.join(F.broadcast(shared) if number <= FEW else shared, same_row(mine, key))
+        nth = F.row_number().over(Window.partitionBy(*mine).orderBy(F.xxhash64(F.lit(0), *atomic(docs, list(own.values())))))
+        more = F.when(nth <= F.col("passes") % F.col("copies"), 1).otherwise(0)
+        out = out.unionByName(some.withColumn("__times", F.floor(F.col("passes") / F.col("copies")) + more))
+    each = out.where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return each.select(*(F.col(o).alias(c) for c, o in own.items()))
 
 
 def queue(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
-    """Run the queue over (id, source, size, shuffle)."""
+    """Run the queue over (id, source, size, shuffle, d1, d2)."""
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    buckets = max(16, -(-total["n"] // PER_BUCKET))
+    buckets = max(16, -(-total["n"] // PER_BUCKET), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     limit = int(budget * total["words"])
     # A row for each source.
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     # 2^60 hash values in equal ranges; a source's rows spread over them whatever its share.
     spread = F.floor(F.col("shuffle") / F.lit(float(1 << 60)) * buckets).cast("int")
-    key = [F.col("shuffle"), F.col("id").asc_nulls_first(), F.col("size")]
+    key = [F.col("shuffle"), F.col("id").asc_nulls_first(), F.col("size"), F.col("d1"), F.col("d2")]
     lined = running(rows, ["source"], key, spread, "size", "upto")
     g = goals.select(F.col("source").alias("__source"), "source_size", "weight", "target")
     lined = lined.join(g, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -128,12 +154,13 @@ def queue(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     by_time = F.floor(2 * buckets * share / (1 + share)).cast("int")
     order = [F.col("finish"), F.col("source").asc_nulls_last(), *key, F.col("pass")]
     taken = running(timed.withColumn("__all", F.lit(0)), ["__all"], order, by_time, "size", "given").where(F.col("given") <= limit)
-    counted = taken.groupBy("id", "source", "size").agg(F.count("*").alias("passes"))
-    same = Window.partitionBy("id", "source", "size")
+    one = ["id", "source", "d1", "d2"]
+    counted = taken.groupBy(one).agg(F.count("*").alias("__passes"))
+    same = Window.partitionBy(one)
     line = lined.withColumn("__copies", F.count("*").over(same)).withColumn("__nth", F.row_number().over(same.orderBy("upto")))
-    c = counted.select(F.col("id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("passes").alias("__passes"))
-    joined = line.join(c, F.col("id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")), "left")
-    # Rows of equal id, source and size share their passes: each gets the whole share, the first ones what is over.
+    c = counted.select(*(F.col(x).alias(f"__{x}") for x in one), "__passes")
+    joined = line.join(c, same_row(one, [f"__{x}" for x in one]), "left")
+    # Equal rows share their passes: each gets the whole share, the first ones what is over.
     n, copies = F.coalesce("__passes", F.lit(0)), F.col("__copies")
     own = F.floor(n / copies) + F.when(F.col("__nth") <= n % copies, 1).otherwise(0)
-    return joined.withColumn("passes", own.cast("int")).withColumn("taken", F.col("passes") * F.col("size")).select("id", "size", "source", "source_size", "target", "passes", "taken")
+    return joined.withColumn("passes", own.cast("int")).withColumn("taken", F.col("passes") * F.col("size")).select("id", "size", "source", "d1", "d2", "source_size", "target", "passes", "taken")

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, Tables, text_bytes
+from keelson.llm.common import atomic, digests, extended, own_names, Tables, text_bytes
 from keelson.llm.textvec import U64, buffers, mix, slices, unique_sets, window_hashes, word_hashes
 
 COORDINATES = 256
@@ -41,6 +41,8 @@ COORDINATES = 256
 MISSED = 1e-4
 #: Nodes of one block of a bucket, and the chance with which a link's sketches may agree too rarely to be verified.
 BLOCK, UNLIKELY = 4096, 1e-8
+#: Rows of a table that is broadcast.
+FEW = 100_000
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,13 +96,15 @@ def sketches(values: np.ndarray, place: np.ndarray, t: int = COORDINATES) -> np.
 
 
 def describe(df: DataFrame, id_col: str, text_col: str, width: int, rows: int) -> DataFrame:
-    """(id, n, node, bands, sketch): node is a hash of the whole set, null without shingles or id."""
-    schema = extended(df.select(F.col(id_col).alias("id")).schema, n="bigint", node="bigint", bands="array<bigint>", sketch="binary")
+    """(id, d1, d2, n, node, bands, sketch): hashes of the text; node is a hash of the whole set, null without shingles or id."""
+    d1, d2 = digests(text_col)
+    texts = df.select(F.col(id_col).alias("id"), d1.alias("d1"), d2.alias("d2"), text_bytes(text_col).alias("__bytes"))
+    schema = extended(texts.drop("__bytes").schema, n="bigint", node="bigint", bands="array<bigint>", sketch="binary")
     bands = COORDINATES // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__bytes", 1 << 20):
-            values, place = sets(b.column(1), width)
+            values, place = sets(b.column(3), width)
             size = np.diff(place)
             sketch = sketches(values, place)
             keys = np.full((len(size), bands), 0, U64) + np.arange(bands, dtype=U64)
@@ -111,9 +115,9 @@ def describe(df: DataFrame, id_col: str, text_col: str, width: int, rows: int) -
             none = (size == 0) | np.asarray(b.column(0).is_null())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
             low = np.ascontiguousarray((sketch & U64(0xFF)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(np.array(node, np.int64), mask=none), lists, pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "n", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(size), pa.array(np.array(node, np.int64), mask=none), lists, pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "d1", "d2", "n", "node", "bands", "sketch"])
 
-    return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("__bytes")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, width: int, nodes: DataFrame) -> DataFrame:
@@ -259,10 +263,11 @@ def crossing(members: DataFrame, nodes: DataFrame, component: DataFrame, percent
     return every.groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, tables: Tables | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, tables: Tables | None = None, with_digests: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept): links are 100 * intersection >= percent * union of shingle sets.
 
-    component_id is the smallest id reachable over links, kept is true for it alone.
+    component_id is the smallest id reachable over links, kept is true for it alone. with_digests adds
+    d1 and d2, two hashes of the text, which tell rows of one id apart.
     """
     tables = tables or Tables(df.sparkSession, "neardup")
     rows = tables.keep(describe(df, id_col, text_col, width, rows_of_band(percent)), "rows")
@@ -286,6 +291,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     final = tables.keep(grouped.join(least, "component").select("node", "component_id"), "final")
     for name in ("shingles", "members", "detail"):
         tables.drop(name)
-    out = rows.select("id", F.col("n").alias("n_shingles"), "node").join(final, "node", "left")
+    more = ["d1", "d2"] if with_digests else []
+    out = rows.select("id", F.col("n").alias("n_shingles"), "node", *more).join(final, "node", "left")
     component_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"), *more)
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, tables: Tables | None = None) -> DataFrame:
+    """df's rows and columns, which may have any names, but one row of each group of near-duplicates.
+
+    The row of the smallest id stays; of several with this id and texts of this group the one of the least
+    text hash, of equal ones the one of the least hash of the other columns. Rows without words or id all stay.
+    """
+    tables = tables or Tables(df.sparkSession, "dedup")
+    docs, own = own_names(df)
+    judged = tables.keep(near_duplicates(docs.select(own[id_col], own[text_col]), own[id_col], own[text_col], width, percent, with_digests=True).withColumnRenamed(own[id_col], "id"), "judged")
+    grouped = judged.where("id is not null and n_shingles > 0").groupBy("id", "d1", "d2", "component_id", "kept").agg(F.count("*").alias("copies"))
+    first = grouped.where("kept").groupBy("component_id").agg(F.min(F.struct("d1", "d2")).alias("first"))
+    held = grouped.join(first, "component_id", "left").withColumn("stays", F.col("kept") & (F.struct("d1", "d2") == F.col("first")))
+    held = tables.keep(held.select(F.col("id").alias("__id"), F.col("d1").alias("__1"), F.col("d2").alias("__2"), "stays", "copies"), "held")
+    d1, d2 = digests(own[text_col])
+    rows = docs.withColumns({"__d1": d1, "__d2": d2})
+    same = (F.col(own[id_col]) == F.col("__id")) & (F.col("__d1") == F.col("__1")) & (F.col("__d2") == F.col("__2"))
+    several = held.where("stays and copies > 1")
+    out = rows.join(held.where("not stays").unionByName(several), same, "left_anti")
+    number = several.count()
+    if number:
+        nth = F.row_number().over(Window.partitionBy(own[id_col], "__d1", "__d2").orderBy(F.xxhash64(F.lit(0), *atomic(docs, list(own.values())))))
+        once = rows.join(F.broadcast(several) if number <= FEW else several, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+        out = out.unionByName(once)
+    return out.select(*(F.col(o).alias(c) for c, o in own.items()))

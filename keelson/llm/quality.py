@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, learned_from, text_bytes
+from keelson.llm.common import extended, learned_from, own_names, text_bytes
 from keelson.llm.textvec import LOWER, U64, buffers, mix, segment_hashes, slices, words
 
 BUCKET_BITS = 18
@@ -137,3 +137,11 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "
             yield pa.RecordBatch.from_arrays([*b.columns[: len(head)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[f.name for f in schema])
 
     return documents.select(*head, *extra).mapInArrow(run, schema)
+
+
+def accepted(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents' rows and columns, which may have any names, where the score reaches the threshold."""
+    docs, own = own_names(documents)
+    rest = tuple(o for c, o in own.items() if c != id_col)
+    scored = score(docs, model, own[id_col], own[text_col], rest, threshold)
+    return scored.where("predicted = 1").select(*(F.col(o).alias(c) for c, o in own.items()))

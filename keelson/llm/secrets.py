@@ -21,9 +21,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from keelson.llm.common import Tables
+from keelson.llm.common import atomic, own_names, Tables
 
 #: The strong kinds, their patterns, and the least length of a group.
 STRONG = {
@@ -52,7 +51,6 @@ REACH = 200
 CHUNK, PIECE = 256, 1024
 #: Rows of equal texts are joined to the text's links in so many tasks.
 SALTS = 16
-HASHED = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DatetimeType)
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -152,11 +150,6 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return hits.groupBy("key").agg(F.collect_set("p").alias("spans"))
 
 
-def atomic(df: DataFrame) -> list[str]:
-    """Columns that can be hashed whatever they hold."""
-    return [f.name for f in df.schema if isinstance(f.dataType, HASHED)]
-
-
 def with_links(found: DataFrame, links: DataFrame, key: str, weak: str, spread: list[str]) -> DataFrame:
     """found with `__linked`, its text's linked spans or null, from (key, spans) rows, one for each text.
 
@@ -180,7 +173,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tu
     strong = F.concat(*(F.col(f"__{k}") for k in STRONG))
     links = linked(found.select(F.col("__key").alias("key"), F.col("__weak").alias("weak"), strong.alias("strong")), reach)
     own = [f"__keep{k}" for k in range(len(head))]
-    joined = with_links(found, links, "__key", "__weak", atomic(found.select(*own)))
+    joined = with_links(found, links, "__key", "__weak", atomic(found, own))
     # A candidate within a strong span is already reported.
     weak = uncovered(F.coalesce("__linked", F.array().cast(SPAN)), strong)
     return joined.select(*(F.col(o).alias(c) for o, c in zip(own, head, strict=True)), *(F.col(f"__{k}").alias(k) for k in STRONG), weak.alias("linked"))
@@ -230,26 +223,26 @@ def redacted(df: DataFrame, mark: str, text_col: str = "text", count_col: str =
     Endpoints stay. Where a text changes, count_col, if there, gets its new number of code points.
     A null text stays null. Columns may have any names. The texts and their spans are written once, and stay in the shared folder.
     """
-    tables, names = Tables(df.sparkSession, "redaction"), df.columns
-    own = [f"__own{k}" for k in range(len(names))]
-    at = own[names.index(text_col)]
-    found = found_in(df.toDF(*own), at)
+    tables = Tables(df.sparkSession, "redaction")
+    docs, own = own_names(df)
+    at = own[text_col]
+    found = found_in(docs, at)
     weak = F.concat(*(F.col(f"__{k}") for k in WEAK))
     # Texts without a weak candidate need no key: they aren't joined to anything.
     key = F.when(F.size(weak) > 0, F.sha2(F.encode("__plain", "UTF-8"), 256))
-    found = tables.keep(found.select(*own, F.concat(*(F.col(f"__{k}") for k in STRONG)).alias("__strong"), weak.alias("__weak"), key.alias("__key")), "spans")
+    found = tables.keep(found.select(*own.values(), F.concat(*(F.col(f"__{k}") for k in STRONG)).alias("__strong"), weak.alias("__weak"), key.alias("__key")), "spans")
     links = linked(found.where("__key is not null").select(F.col("__key").alias("key"), F.col("__weak").alias("weak"), F.col("__strong").alias("strong")), reach)
-    joined = with_links(found, links, "__key", "__weak", atomic(df.toDF(*own)))
+    joined = with_links(found, links, "__key", "__weak", atomic(docs, list(own.values())))
     wanted = F.filter(F.coalesce("__linked", F.array().cast(SPAN)), lambda x: x["kind"] != "endpoint")
     text = F.col(at).cast("string")
     out = joined.withColumn("__cuts", F.array_sort(F.concat("__strong", wanted)))
     out = out.withColumn("__new", F.when(F.size("__cuts") > 0, without(text, F.col("__cuts"), mark)).otherwise(text))
     columns = []
-    for o, c, kind in zip(own, names, (f.dataType for f in df.schema), strict=True):
+    for c, o in own.items():
         if c == text_col:
             columns.append(F.col("__new").alias(c))
         elif c == count_col:
-            columns.append(F.when(F.size("__cuts") > 0, F.char_length("__new")).otherwise(F.col(o)).cast(kind).alias(c))
+            columns.append(F.when(F.size("__cuts") > 0, F.char_length("__new")).otherwise(F.col(o)).cast(df.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(o).alias(c))
     return out.select(*columns)

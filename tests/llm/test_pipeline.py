@@ -3,8 +3,10 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from keelson.llm import quality
+from keelson.llm import mixing, neardup, quality
 from keelson.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +69,34 @@ def test_stages(spark):
     assert max(ends.values()) <= 2048
 
 
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Any column names, nulls, equal ids of different texts, equal rows; each stage on its own."""
+    spark.createDataFrame([(1, 1), (2, 1), (9, 1), (7, 0)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    clash = ["predicted", "__id", "__linked", "__own1", "__d1", "id", "d1", "passes", "copies", "stays", "__key", "__plain", "__text"]
+    docs = odd.select("*", *(F.lit("y").alias(c) for c in clash if c not in odd.columns))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "best_fit_packing" or out.columns == docs.columns
+        out.collect()
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_dedup_and_mix_of_equal_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, c, "x"), (3, c, "y"), (4, None, "x"), (4, None, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = sorted(map(tuple, neardup.deduplicated(docs).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (3, c), (4, None), (4, None), (None, a)], key=str)
+    # Two texts of one id, source and number of words: each as often as its own passes.
+    pair = spark.createDataFrame([(5, "one two", "s"), (5, "six ten", "s"), (6, "big " * 5, "t"), (6, "big " * 5, "t")], "doc_id bigint, text string, source string")
+    once = [sorted(map(tuple, mixing.repeated(df).collect())) for df in (pair, pair.orderBy(F.desc("text")), pair.repartition(3))]
+    assert once[0] == once[1] == once[2]
+    passes = Counter()
+    for r in mixing.mix(pair).collect():
+        passes[r["doc_id"]] += r["passes"]
+    assert Counter(x[0] for x in once[0]) == +passes
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
