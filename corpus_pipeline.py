@@ -7,10 +7,9 @@ shared folder and reads them again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keelson.llm import mixing, neardup, packing, quality, secrets
-from keelson.llm.common import Tables
+from keelson.llm.common import Tables, temporary
 from keelson.llm.queries import tokenizer_paths
 
 REDACTED = "[REDACTED]"
@@ -18,15 +17,12 @@ REDACTED = "[REDACTED]"
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id."""
-    judged = neardup.near_duplicates(docs, width=5, percent=80)
-    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    return neardup.deduplicated(docs, width=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +56,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents."""
     tables = Tables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = tables.keep(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = tables.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)
+        before = name
     return docs
