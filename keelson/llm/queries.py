@@ -24,7 +24,7 @@ def tokenizer_paths(json_name: str = "byte_bpe_50k.json", ranks_name: str = "byt
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = telephony.store(table(spark, sf_dir, "documents"))
-    return telephony.features(stored, keep=("n_bytes",))
+    return telephony.features(stored, keep=("n_bytes",)).drop("error")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, text_bytes
+from keelson.llm.common import extended, Tables, text_bytes
 from keelson.llm.textvec import buffers, slices
 
 UNIT = 192
@@ -197,43 +197,55 @@ def row_powers(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def measured(media: bytes | memoryview, levels: np.ndarray, codec: str, block: int, stream: memoryview) -> tuple:
+    """One container's digests and feature; levels: what row_powers gives of its whole units."""
+    x = np.frombuffer(stream, np.uint8)
+    n, whole = len(x), len(x) // UNIT
+    rest = x[whole * UNIT :]
+    sums = levels[:, :3].sum(axis=0) + [(MULAW[rest].astype(float) ** 2).sum(), (ALAW[rest].astype(float) ** 2).sum(), 0]
+    level = [int((s / max(1, d)) ** 0.5) for s, d in zip(sums, (n, n, whole * (2 * UNIT - 7)), strict=True)]
+    peak = int(levels[:, 3].max(initial=0))
+    sign = np.signbit(MULAW[x])
+    pcm, crc = decode(codec, x, block), 0
+    for p in pieces(pcm):
+        crc = zlib.crc32(p, crc)
+    feature = f"mulaw={level[0]};alaw={level[1]};adpcm={level[2]};peak={peak};turns={int(np.count_nonzero(sign[1:] != sign[:-1]))};pcm={2 * len(pcm)}:{crc:08x}"
+    return n, hashlib.sha256(stream).hexdigest(), zlib.crc32(stream[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, None
+
+
 def features(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Digests and features of stored containers whose streams are whole units; a null container gives nulls.
+    """Digests and features of stored containers; a null container gives nulls, one that can't be parsed gives its fault in `error`.
 
-    (id, *keep, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature). The
+    (id, *keep, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error). The
     feature has the effective levels of the stream as mu-law, A-law and ADPCM, the ADPCM peak, the
-    sign changes of the mu-law samples, and the length and CRC-32 of the PCM at twice the rate.
+    sign changes of the mu-law samples, and the length and CRC-32 of the container's PCM at twice the rate.
+    What is left of an ADPCM block doesn't count there.
     """
     head = [id_col, *keep]
-    schema = extended(df.select(*head).schema, payload_bytes="bigint", payload_sha256="string", tail_crc32="bigint", media_bytes="bigint", media_sha256="string", feature="string")
+    schema = extended(df.select(*head).schema, payload_bytes="bigint", payload_sha256="string", tail_crc32="bigint", media_bytes="bigint", media_sha256="string", feature="string", error="string")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__media", 2 << 20):
-            media = [None if x is None else x.as_buffer() for x in b.column(len(head))]
-            data = [None if x is None else parse(x)[3] for x in media]
-            whole = [x for x in data if x is not None]
-            rows = np.frombuffer(b"".join(whole), np.uint8).reshape(-1, UNIT)
-            place = np.concatenate([[0], np.cumsum([len(x) // UNIT for x in whole])])
-            power = row_powers(rows)
-            sums = np.add.reduceat(power[:, :3], place[:-1], axis=0) if len(whole) else power[:, :3]
-            peak = np.maximum.reduceat(power[:, 3], place[:-1]) if len(whole) else power[:, 3]
-            out, k = [], 0
-            for m, x in zip(media, data, strict=True):
-                if x is None:
-                    out.append((None,) * 6)
-                    continue
-                n, crc, last, turns = len(x), 0, 0, 0
-                pcm = MULAW[np.frombuffer(x, np.uint8)]
-                for p in pieces(pcm):
-                    crc = zlib.crc32(p, crc)
-                sign = np.signbit(pcm)
-                turns = int(np.count_nonzero(sign[1:] != sign[:-1]))
-                level = [int((s / d) ** 0.5) for s, d in zip(sums[k], (n, n, n // UNIT * (2 * UNIT - 7)), strict=True)]
-                feature = f"mulaw={level[0]};alaw={level[1]};adpcm={level[2]};peak={int(peak[k])};turns={turns};pcm={2 * n}:{crc:08x}"
-                out.append((n, hashlib.sha256(x).hexdigest(), zlib.crc32(x[-16:]), m.size, hashlib.sha256(m).hexdigest(), feature))
-                k += 1
-            columns = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(head)], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[f.name for f in schema])
+            out, parsed = [(None,) * 7] * b.num_rows, []
+            for k, x in enumerate(b.column(len(head))):
+                if x.is_valid:
+                    try:
+                        media = memoryview(x.as_buffer())
+                        codec, _, block, stream = parse(media)
+                        parsed.append((k, media, codec, block, stream))
+                    except ValueError as fault:
+                        out[k] = (None,) * 6 + (str(fault),)
+            units = [len(x[4]) // UNIT for x in parsed]
+            power = row_powers(np.frombuffer(b"".join(x[4][: u * UNIT] for x, u in zip(parsed, units, strict=True)), np.uint8).reshape(-1, UNIT))
+            place = np.concatenate([[0], np.cumsum(units)]).astype(np.int64)
+            for (k, media, codec, block, stream), a, z in zip(parsed, place[:-1], place[1:], strict=True):
+                out[k] = measured(media, power[a:z], codec, block, stream)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(head)], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=[f.name for f in schema])
 
     return df.select(*head, F.col(media_col).cast("binary").alias("__media")).mapInArrow(measure, schema)
+
+
+def store_pcm(df: DataFrame, tables: Tables, id_col: str = "doc_id", media_col: str = "media", name: str = "pcm") -> DataFrame:
+    """to_pcm()'s rows as a table in the shared folder, read back."""
+    return tables.keep(to_pcm(df, id_col, media_col), name)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keelson.llm import langid, lm, mixing, neardup, packing, quality, queries, rules, secrets, telephony, tokencount
@@ -85,6 +86,33 @@ def test_op1(spark, texts):
         assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (g["tail_crc32"], g["media_bytes"], g["media_sha256"]) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
         assert f"pcm={2 * len(payload)}:" in g["feature"]
+    for k in list(texts)[:25]:
+        payload = texts[k].encode()
+        payload += b" " * (max(192, -(-len(payload) // 192) * 192) - len(payload))
+        assert got[k]["feature"] == plain_feature(payload)
+
+
+def plain_feature(payload):
+    """The feature sample by sample."""
+    mulaw, alaw = ([int(t[b]) for b in payload] for t in (telephony.MULAW, telephony.ALAW))
+    adpcm = [x for a in range(0, len(payload), 192) for x in ima(payload[a : a + 192])]
+    level = lambda x: int((sum(v * v for v in x) / len(x)) ** 0.5)
+    turns = sum((a < 0) != (b < 0) for a, b in zip(mulaw, mulaw[1:]))
+    y = [mulaw[0], *mulaw, mulaw[-1], mulaw[-1]]
+    pcm = b"".join(x.to_bytes(2, "little", signed=True) for k in range(len(mulaw)) for x in (mulaw[k], max(-32768, min(32767, (9 * (y[k + 1] + y[k + 2]) - y[k] - y[k + 3] + 8) >> 4))))
+    return f"mulaw={level(mulaw)};alaw={level(alaw)};adpcm={level(adpcm)};peak={max(map(abs, adpcm))};turns={turns};pcm={2 * len(mulaw)}:{zlib.crc32(pcm):08x}"
+
+
+def test_features_of_any_container(spark):
+    odd = [(1, b"junk"), (2, None), (3, telephony.wav("mulaw", b"x" * 10)), (4, telephony.wav("alaw", b"ab" * 200)), (5, telephony.wav("adpcm", b"q" * 400)), (6, telephony.wav("mulaw", b"")), (7, telephony.wav("mulaw", b"x" * 300)[:-9])]
+    df = spark.createDataFrame(odd, "doc_id int, media binary")
+    got = by_id(telephony.features(df))
+    assert [bool(got[k]["error"]) for k in range(1, 8)] == [True, False, False, False, False, False, True]
+    assert got[2]["feature"] is None and got[3]["payload_bytes"] == 10 and got[6]["payload_bytes"] == 0
+    stored = by_id(telephony.store_pcm(df, telephony.Tables(spark, "test")))
+    for k in (3, 4, 5, 6):
+        pcm = stored[k]["pcm"]
+        assert got[k]["feature"].endswith(f"pcm={len(pcm) // 2}:{zlib.crc32(pcm):08x}") and stored[k]["rate"] == 16000
 
 
 # 2
@@ -127,6 +155,32 @@ def test_langid_gradients():
         assert abs((up - down) / 2e-2 - grads[name][at]) < 0.1 * abs(grads[name][at]) + 2e-3
 
 
+def test_langid_forward_pass(spark):
+    """Windows, filters, maxima and softmax by plain loops, for short, long and empty texts."""
+    net = langid.Network(3)
+    texts = ["ab", "Short Text", "é" * 100, "abc " * 50, "z" * 128, "q" * 129]
+    got = by_id(langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), (["x", "y", "z"], net)))
+    p = net.p
+
+    def window(data):
+        rows = [p["embed"][langid.LOWER[b]].astype(float) for b in data] + [np.zeros(langid.DIM)] * (langid.WINDOW + langid.REACH - 1 - len(data))
+        top = []
+        for k, w in enumerate(langid.WIDTHS):
+            for f in range(k * langid.FILTERS, (k + 1) * langid.FILTERS):
+                weight = p["conv"][:, f].reshape(langid.REACH, langid.DIM)
+                top.append(max(sum(rows[i + j] @ weight[j] for j in range(w)) for i in range(langid.WINDOW)))
+        z = np.maximum(np.array(top) + p["bias"], 0) @ p["out"] + p["out_bias"]
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        mean = 0
+        for a in range(0, len(raw), langid.WINDOW):
+            own = raw[a : a + langid.WINDOW]
+            mean = mean + window(raw[-langid.WINDOW :] if len(own) < langid.WINDOW <= len(raw) else own) * len(own) / len(raw)
+        assert got[k]["lang_pred"] == "xyz"[int(np.argmax(mean))] and math.isclose(got[k]["score"], mean.max(), rel_tol=1e-4)
+
+
 # 3
 
 
@@ -522,9 +576,10 @@ def test_sketches_fill_and_estimate():
     assert abs((s[0] == s[1]).mean() - 900 / 1100) < 0.1
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_families_of_near_copies(spark, percent):
-    """Chains and stars of copies with a few words changed, against all pairs."""
+@pytest.mark.parametrize("percent, block", [(80, neardup.BLOCK), (85, neardup.BLOCK), (80, 16)])
+def test_families_of_near_copies(spark, monkeypatch, percent, block):
+    """Chains and stars of copies with a few words changed, against all pairs; also in many blocks of a bucket."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(400)]
     rows, base = [], [words[k] for k in rng.integers(0, 400, 120)]
@@ -566,6 +621,39 @@ def test_op9(spark):
     assert all(g["predicted"] == int(g["score"] >= 0.7) and 0 <= g["score"] <= 1 for g in got.values())
 
 
+def test_ftrl_and_scores(spark):
+    """Updates one coordinate at a time, and scores as dot products."""
+    texts = [("good words here and there", 1), ("bad $$$ 111 bad bad", 0), ("more good words", 1), ("", 0), ("bad 222 ###", 0)]
+    data, offs = quality.buffers(pa.array([t.encode() for t, _ in texts], pa.binary()))
+    at, first = quality.occurrences(data, offs)
+    rows = [(*np.unique(at[a:b], return_counts=True), y) for a, b, (_, y) in zip(first[:-1], first[1:], texts)]
+    weights, bias = quality.train(rows, passes=3)
+    z, n, w = defaultdict(float), defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= 1e-5:
+            return 0.0
+        return -(z[k] - math.copysign(1e-5, z[k])) / ((1.0 + n[k] ** 0.5) / 2.0 + 1e-4)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            some, count, y = rows[r]
+            value = {int(k): 8.0 * c / max(1, count.sum()) for k, c in zip(some, count)} | {"bias": 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(k) * x for k, x in value.items())))
+            for k, x in value.items():
+                g = (p - y) * x
+                own = weight(k)
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / 2.0 * own
+                n[k] += g * g
+    assert math.isclose(bias, weight("bias"), rel_tol=1e-9)
+    assert all(math.isclose(weights[k], 8.0 * weight(k), rel_tol=1e-5, abs_tol=1e-9) for k in list(z) if k != "bias") and np.count_nonzero(weights) <= len(z)
+    got = by_id(quality.score(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id bigint, text string"), (weights, bias)))
+    for k, (some, count, _) in enumerate(rows):
+        p = 1 / (1 + math.exp(-sum(float(weights[x]) * c for x, c in zip(some, count)) / max(1, count.sum()) - bias))
+        assert math.isclose(got[k]["score"], p, rel_tol=1e-6)
+
+
 # all
 
 
