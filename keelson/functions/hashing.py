@@ -28,16 +28,22 @@ def key_hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return one, np.where(two == 0, np.uint64(1), two)
 
 
-def bit_positions(key: Column, n_bits: int, num_hashes: int) -> Column:
-    """The bits that a key sets, by double hashing."""
+def positions(keys: list[bytes], n_bits: int | np.ndarray, num_hashes: int) -> np.ndarray:
+    """The bits that keys set, by double hashing; n_bits may differ by key."""
+    one, two = key_hashes(keys)
+    steps = np.arange(num_hashes, dtype=np.uint64)
+    bits = np.asarray(n_bits, np.uint64)
+    return ((one[:, None] + steps * two[:, None]) % (bits[:, None] if bits.ndim else bits)).astype(np.int64)
+
+
+def bit_positions(key: Column, n_bits: int | Column, num_hashes: int) -> Column:
+    """positions() of a column; n_bits may be a column, for keys that are looked for in several filters."""
 
     @F.pandas_udf("array<bigint>")
-    def positions(keys: pd.Series) -> pd.Series:
-        one, two = key_hashes([bytes(k) for k in keys])
-        steps = np.arange(num_hashes, dtype=np.uint64)
-        return pd.Series(list(((one[:, None] + steps * two[:, None]) % np.uint64(n_bits)).astype(np.int64)))
+    def of(keys: pd.Series, bits: pd.Series) -> pd.Series:
+        return pd.Series(list(positions([bytes(k) for k in keys], bits.to_numpy(), num_hashes)))
 
-    return positions(key)
+    return of(key, n_bits if isinstance(n_bits, Column) else F.lit(n_bits))
 
 
 def filter_size(num_keys: int, bits_per_key: int) -> tuple[int, int]:

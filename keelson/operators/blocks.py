@@ -137,14 +137,23 @@ def unpack(pages: DataFrame, run: str = "run") -> DataFrame:
 
 
 def lookup(pages: DataFrame, probes: DataFrame, run: str = "run") -> DataFrame:
-    """(run, key, found, value) for probes (run, key): a page is read only if its key bounds hold the probe."""
+    """(run, key, found, value) for each row of probes (run, key): a page is read only if its key bounds hold the probe.
+
+    Probes that are repeated are looked up once.
+    """
     kind = pages.schema[run].dataType.simpleString()
-    near = pages.select(run, "first_key", "last_key", "bytes").join(probes.select(run, "key"), run).where((F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select(run, "key", "bytes")
+    asked = probes.select(run, "key").distinct()
+    near = pages.select(run, "first_key", "last_key", "bytes").join(asked, run).where((F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select(run, "key", "bytes")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [Page(data).get(key) for key, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=[run, "key", "value"])
 
-    hits = near.mapInArrow(read, f"{run} {kind}, key binary, value binary").where("value is not null")
-    return probes.select(run, "key").join(hits, [run, "key"], "left").select(run, "key", F.col("value").isNotNull().alias("found"), "value")
+    hits = near.mapInArrow(read, f"{run} {kind}, key binary, value binary").where("value is not null").select(F.col(run).alias("__run"), F.col("key").alias("__key"), "value")
+    return probes.select(run, "key").join(hits, F.col(run).eqNullSafe(F.col("__run")) & F.col("key").eqNullSafe(F.col("__key")), "left").select(run, "key", F.col("value").isNotNull().alias("found"), "value")
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Page bytes and their bounds to storage; unpack() and lookup() take what is read back."""
+    pages.write.mode("errorifexists").parquet(path)

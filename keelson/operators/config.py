@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class EngineConfig:
+    """Defaults of a small store. A page has block_size bytes whatever is set; there is no cache of block_cache_size of our own, pages that are read again are for Spark to persist."""
+
     memtable_size: int = 2 << 20
     l0_compaction_trigger: int = 3
     level_multiplier: int = 10

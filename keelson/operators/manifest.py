@@ -6,10 +6,12 @@ import json
 import os
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.errors import CatalogueError
+from keelson.operators.config import EngineConfig
 from keelson.operators.schema import RUNMETA
 
 
@@ -37,6 +39,10 @@ class Manifest:
     def __post_init__(self):
         self.levels = self.levels or [[] for _ in range(self.max_levels)]
 
+    @classmethod
+    def of(cls, config: EngineConfig) -> Manifest:
+        return cls(config.max_levels)
+
     def add(self, level: int, run: RunMeta) -> None:
         """Append a run to a level. A level that isn't there: nothing changes."""
         if not 0 <= level < len(self.levels):
@@ -52,6 +58,15 @@ class Manifest:
         self.levels = [[r for r in rows if (k, r.id) not in gone] for k, rows in enumerate(self.levels)]
         self.version += 1
 
+    def swap(self, removed: list[RunMeta], added: list[RunMeta]) -> None:
+        """Put runs in the place of others, in one change. Nothing changes if one of them can't be added."""
+        for run in added:
+            if not 0 <= run.level < len(self.levels):
+                raise ValueError(f"run {run.id} says level {run.level}, of {len(self.levels)}")
+        gone = {(r.level, r.id) for r in removed}
+        self.levels = [[r for r in rows if (k, r.id) not in gone] + [r for r in added if r.level == k] for k, rows in enumerate(self.levels)]
+        self.version += 1
+
     def level(self, level: int) -> list[RunMeta]:
         return list(self.levels[level]) if 0 <= level < len(self.levels) else []
 
@@ -83,8 +98,13 @@ class Manifest:
             raise CatalogueError("corrupted", "no levels")
         return out
 
-    def save(self, path: str) -> None:
-        """Write beside the place, sync, and rename, so a reader sees the old document or the new one."""
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """Write beside the place, sync, and rename, so a reader sees the old document or the new one.
+
+        With a session the path may be on any file system that Spark knows; without, it is a local one.
+        """
+        if spark is not None:
+            return self._save_shared(path, spark)
         path = os.path.abspath(path)
         beside = os.path.splitext(path)[0] + ".tmp"
         with open(beside, "w") as f:
@@ -98,12 +118,29 @@ class Manifest:
         finally:
             os.close(folder)
 
+    def _save_shared(self, path: str, spark: SparkSession) -> None:
+        fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        place, beside = fs.Path(path), fs.Path(path + ".tmp")
+        out = place.getFileSystem(conf).create(beside, True)
+        try:
+            out.write(bytearray(self.to_json().encode()))
+            out.hsync()
+        finally:
+            out.close()
+        rename = getattr(fs, "Options$Rename")
+        over = spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        fs.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf).rename(beside, place, over)
+
     @classmethod
-    def load(cls, path: str) -> Manifest:
+    def load(cls, path: str, spark: SparkSession | None = None) -> Manifest:
+        """A saved catalogue; with a session from any file system that Spark knows."""
         try:
+            if spark is not None:
+                return cls.from_json(spark.read.text(path, wholetext=True).first()[0])
             with open(path) as f:
                 return cls.from_json(f.read())
-        except OSError as fault:
+        except (OSError, AnalysisException) as fault:
             raise CatalogueError("io", str(fault)) from fault
 
     def runs(self, spark: SparkSession) -> DataFrame:
@@ -117,9 +154,30 @@ def zone_map(entries: DataFrame, run: str) -> DataFrame:
     return entries.groupBy(run).agg(F.count("*").alias("num_entries"), F.sum(size).cast("bigint").alias("size"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
 
 
+#: Bins of an interval join over keys.
+BINS = 256
+
+
 def overlaps(runs: DataFrame, probes: DataFrame) -> DataFrame:
-    """Runs that meet probes (lo, hi) of closed intervals: a range join; probes of unbounded number go to the larger side."""
-    return runs.join(probes, (F.col("max_key") >= F.col("lo")) & (F.col("min_key") <= F.col("hi")))
+    """Runs that meet probes (lo, hi) of closed intervals, as an interval join.
+
+    Keys are binned between evenly spaced least keys of the runs; each side goes to all bins that it
+    touches, and a pair counts in the first bin that both touch. An interval whose end precedes its start meets nothing.
+    """
+    ranked = runs.select("min_key", F.ntile(BINS).over(Window.orderBy("min_key")).alias("t"))
+    # At most BINS keys.
+    edges = [bytes(r["k"]) for r in ranked.groupBy("t").agg(F.min("min_key").alias("k")).where("k is not null").orderBy("k").collect()]
+
+    def place(key: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= key)) if edges else F.lit(0)
+
+    def binned(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        first = place(F.col(low))
+        return df.where(F.col(low) <= F.col(high)).withColumn(name, first).withColumn("__bin", F.explode(F.sequence(F.col(name), place(F.col(high)))))
+
+    pairs = binned(runs, "min_key", "max_key", "__a").join(binned(probes, "lo", "hi", "__b"), "__bin")
+    meet = (F.col("max_key") >= F.col("lo")) & (F.col("min_key") <= F.col("hi")) & (F.col("__bin") == F.greatest("__a", "__b"))
+    return pairs.where(meet).drop("__bin", "__a", "__b")
 
 
 def without(runs: DataFrame, removed: DataFrame) -> DataFrame:

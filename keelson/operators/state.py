@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keelson.operators.config import EngineConfig
 from keelson.operators.prefix import running_sum
 from keelson.operators.schema import DELETE, OPLOG, PUT
 
@@ -42,7 +43,11 @@ def get_many(ops: DataFrame, probes: DataFrame) -> DataFrame:
 
     Only probed keys are reduced: the log is filtered by a semi join first.
     """
-    found = latest(ops.join(probes.select("key").distinct(), "key", "left_semi"))
+    return resolved(latest(ops.join(probes.select("key").distinct(), "key", "left_semi")), probes)
+
+
+def resolved(found: DataFrame, probes: DataFrame) -> DataFrame:
+    """Each probe's entry among those found, with its state; a null key is absent."""
     state = F.when(F.col("seq").isNull(), "absent").when(F.col("value").isNull(), "tombstone").otherwise("live")
     return probes.select("key").join(found, "key", "left").select("key", state.alias("state"), "value", "seq")
 
@@ -88,7 +93,7 @@ class KeyedState:
     Single writer. Each write takes the next sequence number, deletes of unknown keys too.
     """
 
-    def __init__(self, spark: SparkSession, max_size: int, ops: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, max_size: int = EngineConfig.memtable_size, ops: DataFrame | None = None):
         self.spark, self.max_size = spark, max_size
         self.ops = ops if ops is not None else spark.createDataFrame([], OPLOG)
         self._last = self.ops.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if ops is not None else 0

@@ -89,7 +89,25 @@ def segments(ops: DataFrame, per_segment: int = 1000) -> DataFrame:
     framed = records(ops).select(F.floor((F.col("seq") - 1) / per_segment).alias("segment"), "seq", "record")
     # Each segment is bounded, so its records fit in one row.
     joined = F.array_sort(F.collect_list(F.struct("seq", "record")))
-    return framed.groupBy("segment").agg(joined.alias("r")).select("segment", F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x["record"])).alias("content"))
+    content = F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["record"])), ""))
+    return framed.groupBy("segment").agg(joined.alias("r")).select("segment", content.alias("content"))
+
+
+def write_log(segments_df: DataFrame, folder: str) -> None:
+    """(segment, content) as log files, one for each segment, on any file system that Spark knows.
+
+    Spark has no sink for bare bytes: the driver, as the single writer of a log, writes segment after segment.
+    """
+    spark = segments_df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    for row in segments_df.select("segment", "content").toLocalIterator():
+        path = fs.Path(f"{folder}/{row['segment']:012d}.log")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+        try:
+            out.write(bytearray(row["content"] or b""))
+            out.hsync()
+        finally:
+            out.close()
 
 
 def offsets(ops: DataFrame) -> DataFrame:

@@ -73,15 +73,21 @@ def test_whole_pages(spark):
     sf = "/root/testdata/sf0.001"
     html = {f"{r['url']}#{r['page_id']:09d}": r["html"].encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert max(map(len, html.values())) > catalogue.PIECE
-    scanned = {bytes.fromhex(r["key"]).decode(): bytes.fromhex(r["value"]) for r in catalogue.QUERIES["page_scan"](spark, sf).collect()}
+    scanned = {bytes.fromhex(r["key"]).decode(): bytes.fromhex(r["value"]) for r in catalogue.QUERIES["block_scan"](spark, sf).collect()}
     whole = {}
     for key in sorted(scanned):
         whole[key[:-10]] = whole.get(key[:-10], b"") + scanned[key]
     assert whole == html
-    packed = catalogue.QUERIES["page_pack"](spark, sf).collect()
+    packed = catalogue.QUERIES["block_pack"](spark, sf).collect()
     assert sum(r["entries"] for r in packed) == len(scanned) and all(r["size"] <= 4096 for r in packed)
-    looked = catalogue.QUERIES["page_lookup"](spark, sf).collect()
+    looked = catalogue.QUERIES["block_lookup"](spark, sf).collect()
     assert len(looked) == 2 * len(scanned)
     for r in looked:
         key = bytes.fromhex(r["key"]).decode()
         assert (r["found"], r["value"] and bytes.fromhex(r["value"])) == ((False, None) if key.endswith("!") else (True, scanned[key]))
+
+
+def test_repeated_probes(spark):
+    pages = blocks.pack(spark.createDataFrame([(1, b"a", b"x"), (1, b"b", b"y"), (2, b"a", b"z")], "run int, key binary, value binary"))
+    probes = spark.createDataFrame([(1, b"a"), (1, b"a"), (1, b"c"), (3, b"a"), (None, b"a")], "run int, key binary")
+    assert sorted((r["run"] or 0, bytes(r["key"]), r["found"]) for r in blocks.lookup(pages, probes).collect()) == [(0, b"a", False), (1, b"a", True), (1, b"a", True), (1, b"c", False), (3, b"a", False)]
