@@ -70,6 +70,24 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [x for gap in by_gap for x in by_gap[gap]]
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A number of bins that no packing can do without (Martello and Toth's L2).
+
+    Items beyond half the capacity need a bin each; of the others those of at least so much must fit beside
+    them, and not beside those that leave less; the best such bound counts, and with 0 that of the total.
+    """
+    size, number = (np.zeros(capacity + 2, np.int64) for _ in range(2))
+    for x, n in counts.items():
+        size[x], number[x] = x * n, n
+    size, number = np.cumsum(size), np.cumsum(number)  # of items up to each length
+    half = capacity // 2
+    k = np.arange(half + 1)
+    beside = size[capacity - k] - size[half]
+    room = (number[capacity - k] - number[half]) * capacity - beside
+    small = size[half] - np.where(k > 0, size[k - 1], 0)
+    return int((number[capacity] - number[half] + np.maximum(0, -((room - small) // capacity))).max())
+
+
 def dominated(filling: tuple[int, ...], waste: int, free: int) -> bool:
     """Whether some of the items could give way to one longer item, or several to one as long, that still fits (Martello and Toth).
 
@@ -126,20 +144,28 @@ class Search:
             if self.best is None or sum(n for _, n in plan) < sum(n for _, n in self.best):
                 self.best = plan
 
-    def fillings(self, longest: int, most: int, after: tuple[int, tuple[int, ...]] | None) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(waste, other items) of undominated fillings that waste at most so much, later than `after`."""
+    def around(self, longest: int) -> tuple[dict[int, int], list[int], list[int], int]:
+        """What may go with an item: counts, lengths, the sums that the shorter ones of them make up, and the lengths as bits."""
         room = self.capacity - longest
         counts = {x: self.counts[x] - (x == longest) for x in self.lengths[: bisect.bisect_right(self.lengths, min(room, longest))]}
         here = [x for x, n in counts.items() if n]
         self.budget -= len(here)
-        sums = reachable(here, counts, room)
-        free = sum(1 << x for x in here)
+        return counts, here, reachable(here, counts, room), sum(1 << x for x in here)
+
+    def fillings(self, longest: int, most: int, after: tuple[int, tuple[int, ...]] | None) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(waste, other items) of undominated fillings that waste at most so much, later than `after`.
+
+        Between two fillings only the stack is kept: the counts are again what they were, so the tables are made anew.
+        """
+        room = self.capacity - longest
+        tables = self.around(longest)
         for waste in range(after[0] if after else 0, min(most, room) + 1):
-            if not sums[-1] >> room - waste & 1:
+            if not tables[2][-1] >> room - waste & 1:
                 continue
             # (items so far, sum left, place of the longest that may follow)
-            stack = [((), room - waste, len(here) - 1)]
+            stack = [((), room - waste, len(tables[1]) - 1)]
             while stack:
+                counts, here, sums, free = tables
                 items, left, k = stack.pop()
                 self.budget -= 1
                 if self.budget <= 0:
@@ -148,7 +174,9 @@ class Search:
                     used_up = sum(1 << x for x in set(items) if items.count(x) == counts[x])
                     late = after is None or (waste, tuple(-x for x in items)) > (after[0], tuple(-x for x in after[1]))
                     if late and not dominated(items, waste, free & ~used_up):
+                        tables = counts = here = sums = free = None
                         yield waste, items
+                        tables = self.around(longest)
                     continue
                 # The longest length that may follow goes first; shorter ones only where they can make up the rest.
                 k = min(k, bisect.bisect_right(here, left) - 1)
@@ -215,7 +243,7 @@ class Search:
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, budget: int = 8_000_000) -> tuple[Plan, bool]:
     """A packing of a histogram of lengths, and whether it's proven that fewer bins don't do.
 
-    Best-fit decreasing gives the first incumbent, the total the least number of bins. Between the two bin
+    Best-fit decreasing gives the first incumbent, least_bins() a number that excludes fewer. Between the two bin
     completion looks for better incumbents: first in the least number, then halfway between what is
     excluded and the incumbent. The budget of steps, of which each search gets an eighth of what is left,
     is the only bound. Where a search uses its share up its number of bins isn't excluded, so
@@ -226,7 +254,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, budget: int
         return [], True
     number = lambda plan: sum(n for _, n in plan)
     incumbent = best_fit_decreasing(counts, capacity)
-    bins = least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    bins = least = least_bins(counts, capacity)
     proven = True
     while least < number(incumbent):
         share = max(1, budget // 8)

@@ -503,10 +503,12 @@ def test_bin_completion_is_optimal_on_small_problems():
     for _ in range(200):
         items = sorted(rng.integers(1, 31, rng.integers(1, 10)).tolist(), reverse=True)
         plan, proven = packing.bin_completion(dict(Counter(items)), 30)
-        assert proven
+        assert proven and packing.least_bins(Counter(items), 30) <= sum(n for _, n in plan)
         got = Counter(x for f, n in plan for x in f for _ in range(n))
         assert got == Counter(items) and all(sum(f) <= 30 for f, _ in plan)
-        worse += sum(n for _, n in plan) - fewest(items, 30)
+        best = fewest(items, 30)
+        assert -(-sum(items) // 30) <= packing.least_bins(Counter(items), 30) <= best
+        worse += sum(n for _, n in plan) - best
     assert worse == 0
     assert packing.bin_completion({}) == ([], True)
 
