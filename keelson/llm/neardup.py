@@ -306,9 +306,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables = tables or Tables(df.sparkSession, "dedup")
     docs, own = own_names(df)
     judged = tables.keep(near_duplicates(docs.select(own[id_col], own[text_col]), own[id_col], own[text_col], width, percent, with_digests=True).withColumnRenamed(own[id_col], "id"), "judged")
-    grouped = judged.where("id is not null and n_shingles > 0").groupBy("id", "d1", "d2", "component_id", "kept").agg(F.count("*").alias("copies"))
-    first = grouped.where("kept").groupBy("component_id").agg(F.min(F.struct("d1", "d2")).alias("first"))
-    held = grouped.join(first, "component_id", "left").withColumn("stays", F.col("kept") & (F.struct("d1", "d2") == F.col("first")))
+    # Rows that stay have their group's id, so nothing is gathered by group, however large one is.
+    grouped = judged.where("id is not null and n_shingles > 0").groupBy("id", "d1", "d2", "kept").agg(F.count("*").alias("copies"))
+    first = grouped.where("kept").groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("first"))
+    stay = grouped.where("kept").join(first, "id").withColumn("stays", F.struct("d1", "d2") == F.col("first")).drop("first")
+    held = stay.unionByName(grouped.where("not kept").withColumn("stays", F.lit(False)))
     held = tables.keep(held.select(F.col("id").alias("__id"), F.col("d1").alias("__1"), F.col("d2").alias("__2"), "stays", "copies"), "held")
     d1, d2 = digests(own[text_col])
     rows = docs.withColumns({"__d1": d1, "__d2": d2})
