@@ -41,7 +41,7 @@ ORDER = 3
 #: Hashes that stand for what is before a text and for its end.
 BEGIN, END = U64(0x5555AAAA0F0F0001), U64(0x5555AAAA0F0F0002)
 #: Text of a block; buckets of a context's frequency, of which the first ones are single numbers.
-BLOCK, BUCKETS, SINGLE = 12 << 20, 24, 4
+BLOCK, BUCKETS, SINGLE = 10 << 20, 24, 4
 #: Steps of a power of two in which ratios are held, the one that stands for 0, and the bits of each.
 STEPS, ZERO, WIDTH = 2, -500, 12
 
@@ -241,6 +241,7 @@ def met(replies: pa.Table, rows: pa.Table, bits: int, ranges: int, apart: bool =
             at = np.searchsorted(np.unique(h), h[some])
         else:
             at = np.unique(h, return_inverse=True)[1]
+        orders[order] = h = None
         own = replies.filter(pa.array(order_of == order))
         number = own.column("size").to_pylist()
         for name, out in (("counts", total), ("held", held)):
