@@ -390,6 +390,26 @@ def test_bands_judge_the_whole_document(spark, texts):
     assert sum(g["kept"] for g in got.values()) > 0.7 * sum(not g["base_failed"] for g in got.values())
 
 
+def test_noise_in_each_language(spark):
+    """Noise of a language's own letters and of any, short and long, goes; documents labelled good stay."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    rng, made = np.random.default_rng(5), {}
+    for lang in sorted({x for *_, x in rows if x}):
+        own = np.array([c for _, t, x in rows if x == lang for c in t if c.isalpha()])
+        for n in (60, 200, 1000):
+            for letters in (own[np.unique(rng.integers(0, len(own), 2000))], np.array(list("abcdefghijklmnopqrstuvwxyz"))):
+                noise = "".join(letters[rng.integers(0, len(letters), 7 * n)])
+                made[10**6 + len(made)] = (" ".join(noise[k : k + 7] for k in range(0, 7 * n, 7)), lang)
+    got = by_id(rules.judge(spark.createDataFrame(rows + [(k, *x) for k, x in made.items()], "doc_id bigint, text string, lang string")))
+    for lang in {x for _, x in made.values()}:
+        own = [k for k, x in made.items() if x[1] == lang]
+        assert sum(not got[k]["kept"] for k in own) >= 0.9 * len(own), lang
+        clean = [k for k, _, x in rows if x == lang and k in good and not got[k]["base_failed"]]
+        assert sum(got[k]["kept"] for k in clean) >= 0.95 * len(clean), lang
+
+
 def test_each_language_has_its_band(spark):
     """Fourteen languages of few documents, and one that grows from 99 to 100."""
     rng = np.random.default_rng(6)
