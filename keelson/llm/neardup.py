@@ -278,7 +278,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     members = tables.keep(bands.join(shared.select("bucket", "least"), "bucket"), "members")
     candidate = members.select("node").distinct()
-    detail = tables.keep(known.join(candidate, "node", "left_semi").select("node", "n", "sketch", "bands").dropDuplicates(["node"]), "detail")
+    # Copies fall together before the shuffle: a set that many rows share sends one row a task.
+    detail = tables.keep(known.select("node", "n", "sketch", "bands").dropDuplicates(["node"]).join(candidate, "node", "left_semi"), "detail")
     shingles = tables.keep(full_sets(df, id_col, text_col, width, nodes.join(candidate, "node", "left_semi")), "shingles")
     star = members.where("node <> least").groupBy("node", "least").count().groupBy("node").agg(F.max(F.struct("count", "least")).alias("m")).select(F.col("node").alias("a"), F.col("m.least").alias("b"))
     links = tables.keep(verified(star, shingles, percent), "links-0")
