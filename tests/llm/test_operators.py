@@ -410,6 +410,22 @@ def test_noise_in_each_language(spark):
         assert sum(got[k]["kept"] for k in clean) >= 0.95 * len(clean), lang
 
 
+def test_held_and_dealt_tables_agree(spark, monkeypatch):
+    """Few small tables are broadcast, others go to tasks that documents are dealt to: the results are the same."""
+    schema = "doc_id bigint, text string, lang string"
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(-1, None, "en"), (-2, "", None), (-3, "ab cd", "none else"), (-4, " ", "blank"), (None, "ab cd", "en"), (-5, "x" * 9000, None)]
+    docs = spark.createDataFrame(rows, schema)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"])
+    held = sorted(rules.judge(docs).collect(), key=key)
+    monkeypatch.setattr(rules, "HELD_LANGUAGES", 3)
+    dealt = sorted(rules.judge(docs).collect(), key=key)
+    assert len(held) == len(rows)
+    for x, y in zip(held, dealt, strict=True):
+        for c in x.asDict():
+            assert x[c] == y[c] or (isinstance(x[c], float) and math.isclose(x[c], y[c], rel_tol=1e-6)), (c, x, y)
+
+
 def test_each_language_has_its_band(spark):
     """Fourteen languages of few documents, and one that grows from 99 to 100."""
     rng = np.random.default_rng(6)
