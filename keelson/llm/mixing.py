@@ -10,7 +10,9 @@ stays within the budget. No source goes beyond its cap, as it has no more passes
 
 Sums over a source's documents are prefix sums by bucket of the shuffle hash, and sums over the
 global order are prefix sums by bucket of the finish time, so no task sees a whole source or the
-whole order. Tables of sources are sorted in one task: a row for each source.
+whole order. Tables of sources are sorted in one task: a row for each source. The sources' targets
+and the documents in line are written as tables: each is used several times, and one plan of it all
+would be planned anew, whole, on the driver after each of its exchanges.
 
 Nulls: a null text has no words, a null source is a source of its own and comes last. Equal rows
 are queued each for itself. Without any word, everything is 0. Empty tables give empty ones.
@@ -96,7 +98,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(id, size, source, source_size, target, passes, taken) for each row: how often the mix takes it, and its words in the mix."""
     tables = tables or Tables(df.sparkSession, "mixing")
     rows = tables.keep(sized(df, id_col, text_col, source_col, seed), "sizes")
-    return queue(rows, weights, budget, cap).drop("d1", "d2").withColumnRenamed("id", id_col)
+    return queue(rows, tables, weights, budget, cap).drop("d1", "d2").withColumnRenamed("id", id_col)
 
 
 def same_row(left: list[str], right: list[str]) -> Column:
@@ -114,7 +116,8 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     tables = tables or Tables(df.sparkSession, "mixing")
     rows = tables.keep(sized(df, id_col, text_col, source_col, seed), "sizes")
     key = ["id", "source", "d1", "d2"]
-    total = tables.keep(queue(rows, weights, budget, cap).groupBy(key).agg(F.count("*").alias("copies"), F.sum("passes").alias("passes")).where("passes > 0"), "passes")
+    total = tables.keep(queue(rows, tables, weights, budget, cap).groupBy(key).agg(F.count("*").alias("copies"), F.sum("passes").alias("passes")).where("passes > 0"), "passes")
+    tables.drop("lined")
     docs, own = own_names(df)
     d1, d2 = digests(own[text_col])
     mine = ["__id", "__source", "__d1", "__d2"]
@@ -132,28 +135,26 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return each.select(*(F.col(o).alias(c) for c, o in own.items()))
 
 
-def queue(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
-    """Run the queue over (id, source, size, shuffle, d1, d2)."""
+def queue(rows: DataFrame, tables: Tables, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
+    """Run the queue over (id, source, size, shuffle, d1, d2). What it returns reads the table "lined"."""
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     buckets = max(16, -(-total["n"] // PER_BUCKET), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     limit = int(budget * total["words"])
     # A row for each source.
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
+    goals = tables.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap), "goals")
     # 2^60 hash values in equal ranges; a source's rows spread over them whatever its share.
     spread = F.floor(F.col("shuffle") / F.lit(float(1 << 60)) * buckets).cast("int")
     key = [F.col("shuffle"), F.col("id").asc_nulls_first(), F.col("size"), F.col("d1"), F.col("d2")]
     lined = running(rows, ["source"], key, spread, "size", "upto")
     g = goals.select(F.col("source").alias("__source"), "source_size", "weight", "target")
-    lined = lined.join(g, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    lined = tables.keep(lined.join(g, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"), "lined")
     passes = lined.where("size > 0").withColumn("pass", F.explode(F.array(*map(F.lit, range(cap))))).withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("weight"))
     # The queue stops about when the sources that aren't full reach their targets.
-    horizon = goals.agg(F.greatest(F.lit(1e-9), F.coalesce(F.max(F.col("target") / F.col("weight")), F.lit(0.0))).alias("horizon"))
-    # One row.
-    timed = passes.crossJoin(F.broadcast(horizon))
-    share = F.col("finish") / F.col("horizon")
+    horizon = goals.agg(F.greatest(F.lit(1e-9), F.coalesce(F.max(F.col("target") / F.col("weight")), F.lit(0.0))).alias("horizon")).first()["horizon"]
+    share = F.col("finish") / F.lit(horizon)
     by_time = F.floor(2 * buckets * share / (1 + share)).cast("int")
     order = [F.col("finish"), F.col("source").asc_nulls_last(), *key, F.col("pass")]
-    taken = running(timed.withColumn("__all", F.lit(0)), ["__all"], order, by_time, "size", "given").where(F.col("given") <= limit)
+    taken = running(passes.withColumn("__all", F.lit(0)), ["__all"], order, by_time, "size", "given").where(F.col("given") <= limit)
     one = ["id", "source", "d1", "d2"]
     counted = taken.groupBy(one).agg(F.count("*").alias("__passes"))
     same = Window.partitionBy(one)

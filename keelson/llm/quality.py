@@ -15,6 +15,7 @@ are 0.5. Empty tables give empty ones.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BUCKET_BIT
             # Rows stay as small as they came: shares are worked out anew each time.
             some, count, label = rows[k]
             index = np.append(some.astype(np.int64), size - 1)
-            value = np.append(count / max(1, int(count.sum())) * SCALE, 1.0)
+            value = np.append(count.astype(np.int64) / max(1, int(count.sum())) * SCALE, 1.0)
             zi, ni = z[index], n[index]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(wi @ value, -30, 30)))
@@ -92,6 +93,25 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BUCKET_BIT
 SCALE = 8.0
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes each, 1, 2 or 4, as hold the greatest."""
+    top = int(x.max(initial=0))
+    return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
+
+
+def packed(features: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending different features as the gaps between them, and the occurrences of each, in few bytes."""
+    return narrow(np.diff(features, prepend=features.dtype.type(0))).tobytes(), narrow(counts).tobytes()
+
+
+def unpacked(number: int, gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What packed() was given, the occurrences as narrow as they came."""
+    if not number:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+    some, count = (np.frombuffer(x, f"<u{len(x) // number}") for x in (gaps, counts))
+    return np.cumsum(some, dtype=np.uint32), count
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights learned from a sample of labelled rows, chosen by hash of the id, outside the held-out remainder."""
     chosen = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("__label")).where(learned_from(id_col, modulus) & F.col("__label").isin(0, 1)).orderBy(F.xxhash64(id_col), id_col, "__label").limit(sample)
@@ -102,15 +122,23 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             data, offs = buffers(b.column(1))
             at, first = occurrences(data, offs)
             sums = [np.unique(at[x:y], return_counts=True) for x, y in zip(first[:-1], first[1:], strict=True)]
-            features, counts = (pa.array([x[k].astype("<u4").tobytes() for x in sums], pa.binary()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), features, counts, b.column(2)], names=["id", "features", "counts", "label"])
-
-    got = rows.select(id_col, "__bytes", "__label").mapInArrow(featurise, "id string, features binary, counts binary, label int").toArrow().combine_chunks()
-    order = sorted(range(got.num_rows), key=lambda k: (got["id"][k].as_py(), got["label"][k].as_py(), got["features"][k].as_py(), got["counts"][k].as_py()))
-    if not order:
+            gaps, counts = zip(*(packed(*x) for x in sums), strict=True)
+            number = pa.array([len(x[0]) for x in sums], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), number, pa.array(gaps, pa.binary()), pa.array(counts, pa.binary()), b.column(2)], names=["id", "number", "gaps", "counts", "label"])
+
+    got = rows.select(id_col, "__bytes", "__label").mapInArrow(featurise, "id string, number int, gaps binary, counts binary, label int").toArrow()
+    learned = [(key, label, *unpacked(number, gaps, counts)) for b in got.to_batches() for key, number, gaps, counts, label in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    del got
+    learned.sort(key=lambda x: x[:2])
+    # Only rows of one id and label are put in order by what they hold.
+    ordered = [x for _, same in groupby(learned, key=lambda x: x[:2]) for x in in_order(list(same))]
+    if not ordered:
         return np.zeros(1 << BUCKET_BITS, np.float32), 0.0
-    part = lambda name, k: np.frombuffer(got[name][k].as_buffer(), "<u4")
-    return train([(part("features", k), part("counts", k), got["label"][k].as_py()) for k in order])
+    return train([(features, counts, label) for _, label, features, counts in ordered])
+
+
+def in_order(same: list[tuple]) -> list[tuple]:
+    return same if len(same) == 1 else sorted(same, key=lambda x: (x[2].astype("<u4").tobytes(), x[3].astype("<u4").tobytes()))
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:

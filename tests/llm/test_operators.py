@@ -686,6 +686,23 @@ def test_mix_on_odd_rows(spark, odd):
     assert all(r["target"] <= 2 * r["source_size"] + 1e-9 for r in rows)
 
 
+def test_mix_is_planned_in_parts(spark, documents, monkeypatch):
+    """The driver plans all that is left of a query after each of its exchanges: none of the mix's has many."""
+    keep, exchanges = mixing.Tables.keep, {}
+
+    def count(name, df):
+        exchanges[name] = len(re.findall(r"\b(?:Broadcast)?Exchange\b", df._jdf.queryExecution().executedPlan().toString()))
+
+    def kept(self, df, name):
+        count(name, df)
+        return keep(self, df, name)
+
+    monkeypatch.setattr(mixing.Tables, "keep", kept)
+    count("mix", mixing.mix(documents))
+    count("repeated", mixing.repeated(documents))
+    assert max(exchanges.values()) <= 12, exchanges
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 2000, dtype=np.uint64)
@@ -774,6 +791,32 @@ def test_ftrl_and_scores(spark):
         assert math.isclose(got[k]["score"], p, rel_tol=1e-6)
 
 
+def test_learned_rows_come_in_few_bytes(spark, documents, texts, monkeypatch):
+    """What the driver gathers to learn from, against the features and their numbers; and the model, against training on those."""
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 1), (1, 1), (5, 300), (200, 70000), (3000, 1)):
+        features, counts = np.unique(rng.integers(0, 1 << quality.BUCKET_BITS, n).astype(np.uint32)), rng.integers(1, top + 1, n)
+        counts = counts[: len(features)]
+        back = quality.unpacked(len(features), *quality.packed(features, counts))
+        assert back[0].dtype == np.uint32 and [x.tolist() for x in back] == [features.tolist(), counts.tolist()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    long = "word " * 70000 + "other " * 300
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, long), (-1, long + "x"), (-2, None)], "doc_id bigint, text string"))
+    labels = labels.unionByName(spark.createDataFrame([(-1, 1), (-2, 0)], "doc_id bigint, quality int"))
+    rows = [(str(k), y, texts.get(k) or "") for k, y in map(tuple, labels.collect()) if y in (0, 1) and k >= 0 and k in texts and crc(k, 4) != 2]
+    rows += [(str(k), y, t) for k, y, t in ((-1, 1, long), (-1, 1, long + "x"), (-2, 0, "")) if crc(k, 4) != 2]
+    data, offs = quality.buffers(pa.array([t.encode() for *_, t in rows], pa.binary()))
+    at, first = quality.occurrences(data, offs)
+    each = [np.unique(at[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])]
+    order = sorted(range(len(rows)), key=lambda k: (*rows[k][:2], *(x.astype("<u4").tobytes() for x in each[k])))
+    gathered, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: gathered.append(collect(df)) or gathered[-1])
+    weights, bias = quality.fit(docs, labels)
+    want = quality.train([(*each[k], rows[k][1]) for k in order])
+    assert weights.tobytes() == want[0].tobytes() and bias == want[1]
+    assert sum(x.nbytes for x in gathered) <= 5 * sum(len(x) for x, _ in each)
+
+
 # all
 
 
