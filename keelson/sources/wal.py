@@ -7,6 +7,7 @@ parallelism comes from files (or segments). The native form of an op log is a Pa
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from keelson.operators.prefix import running_sum
 from keelson.operators.schema import DELETE, PUT
 
 DECODED = "pos bigint, op tinyint, key binary, value binary, status string, error string"
+#: Stands for the last byte of a log that has none.
+EMPTY = -1
 
 
 def decode(data: bytes) -> Iterator[tuple[int, int | None, bytes | None, bytes | None, str, str | None]]:
@@ -96,18 +99,54 @@ def segments(ops: DataFrame, per_segment: int = 1000) -> DataFrame:
 def write_log(segments_df: DataFrame, folder: str) -> None:
     """(segment, content) as log files, one for each segment, on any file system that Spark knows.
 
-    Spark has no sink for bare bytes: the driver, as the single writer of a log, writes segment after segment.
+    Tasks write the bytes; the driver, as the single writer of a log, only gives whole files their names.
+    Spark has no sink for bare bytes, but its text sink writes a row's bytes as they are and a separator
+    after them. Here that is the content's own last byte: contents are dealt by it, one job for each that
+    occurs. LogError if a file is there already or a segment comes twice; then none is named.
     """
     spark = segments_df.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs
-    for row in segments_df.select("segment", "content").toLocalIterator():
-        path = fs.Path(f"{folder}/{row['segment']:012d}.log")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
-        try:
-            out.write(bytearray(row["content"] or b""))
-            out.hsync()
-        finally:
-            out.close()
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = as_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    # Spark's readers pass over names that begin so.
+    staging = f"{folder}/_writing-{uuid.uuid4().hex}"
+    dealt, logs = f"{staging}/dealt", f"{staging}/logs"
+    rows = segments_df.select("segment", F.coalesce("content", F.lit(b"")).alias("content"))
+    last_byte = F.conv(F.hex(F.substring("content", -1, 1)), 16, 10).cast("int")
+    try:
+        fs.mkdirs(as_path(logs))
+        rows.withColumn("last", F.coalesce(last_byte, F.lit(EMPTY))).write.partitionBy("last").parquet(dealt)
+        named: list[tuple[str, str | None]] = []
+        for status in fs.listStatus(as_path(dealt)):
+            _, found, last = status.getPath().getName().partition("last=")
+            if not found:
+                continue
+            part = spark.read.schema(rows.schema).parquet(f"{dealt}/last={last}")
+            if int(last) == EMPTY:
+                named += [(f"{r['segment']:012d}.log", None) for r in part.select("segment").toLocalIterator()]
+            else:
+                text = F.substring("content", F.lit(1), F.octet_length("content") - 1).cast("string").alias("text")
+                # A file for each row, so that a segment that comes twice is seen.
+                sink = part.select("segment", text).write.partitionBy("segment").option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1")
+                sink.text(f"{logs}/{last}", compression="none", lineSep=chr(int(last)))
+        files = fs.listFiles(as_path(logs), True)
+        while files.hasNext():
+            file = files.next().getPath()
+            _, found, number = file.getParent().getName().partition("segment=")
+            if found:
+                named.append((f"{int(number):012d}.log", file.toString()))
+        taken = {status.getPath().getName() for status in fs.listStatus(as_path(folder))}
+        for name, _ in named:
+            if name in taken:
+                raise LogError("io", f"{folder}/{name} exists")
+            taken.add(name)
+        for name, file in sorted(named):
+            to = as_path(f"{folder}/{name}")
+            if file is None:
+                fs.create(to, False).close()
+            elif not fs.rename(as_path(file), to):
+                raise LogError("io", f"{folder}/{name} can't be named")
+    finally:
+        fs.delete(as_path(staging), True)
 
 
 def offsets(ops: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,33 @@ def test_damaged_logs(spark, tmp_path):
         wal.read_log(spark, str(tmp_path / "bad"), fail_fast=True).collect()
     ops = replay(wal.read_log(spark, str(tmp_path / "bad")))
     assert sorted(r["seq"] for r in ops.collect()) == [1, 3]
+
+
+def sent_to_driver(spark):
+    """Bytes of all tasks' results so far."""
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).resultSize() for k in range(stages.size()))
+
+
+def test_log_files_are_written_by_tasks(spark, tmp_path):
+    noise = random.Random(5)
+    ends = (b"\0", b"\n", b"\r", b"}", b"\x80", b"\xff")
+    want = {k: noise.randbytes(1 << 18) + ends[k % len(ends)] for k in range(24)} | {24: b"", 25: b"\n", 26: bytes(range(256))}
+    spark.createDataFrame(list(want.items()), "segment bigint, content binary").write.parquet(str(tmp_path / "segments"))
+    rows = spark.read.parquet(str(tmp_path / "segments"))
+    before = sent_to_driver(spark)
+    wal.write_log(rows, str(tmp_path / "log"))
+    assert sent_to_driver(spark) - before < 1 << 20
+    assert {p.name: p.read_bytes() for p in (tmp_path / "log").iterdir() if p.name[0] != "."} == {f"{k:012d}.log": v for k, v in want.items()}
+    for again in ([(3, b"x")], [(30, b"x"), (30, b"y")]):
+        with pytest.raises(LogError):
+            wal.write_log(spark.createDataFrame(again, "segment bigint, content binary"), str(tmp_path / "log"))
+    assert sorted(p.name for p in (tmp_path / "log").iterdir() if p.name[0] != ".") == [f"{k:012d}.log" for k in want]
+    assert (tmp_path / "log" / f"{3:012d}.log").read_bytes() == want[3]
+
+
+def test_an_empty_log_is_no_file(spark, tmp_path):
+    wal.write_log(wal.segments(spark.createDataFrame([], OPLOG)), str(tmp_path / "log"))
+    assert list((tmp_path / "log").iterdir()) == [] and wal.read_log(spark, str(tmp_path / "log")).isEmpty()
