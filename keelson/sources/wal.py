@@ -113,7 +113,6 @@ def write_log(segments_df: DataFrame, folder: str) -> None:
     rows = segments_df.select("segment", F.coalesce("content", F.lit(b"")).alias("content"))
     last_byte = F.conv(F.hex(F.substring("content", -1, 1)), 16, 10).cast("int")
     try:
-        fs.mkdirs(as_path(logs))
         rows.withColumn("last", F.coalesce(last_byte, F.lit(EMPTY))).write.partitionBy("last").parquet(dealt)
         named: list[tuple[str, str | None]] = []
         for status in fs.listStatus(as_path(dealt)):
@@ -128,12 +127,10 @@ def write_log(segments_df: DataFrame, folder: str) -> None:
                 # A file for each row, so that a segment that comes twice is seen.
                 sink = part.select("segment", text).write.partitionBy("segment").option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1")
                 sink.text(f"{logs}/{last}", compression="none", lineSep=chr(int(last)))
-        files = fs.listFiles(as_path(logs), True)
-        while files.hasNext():
-            file = files.next().getPath()
-            _, found, number = file.getParent().getName().partition("segment=")
-            if found:
-                named.append((f"{int(number):012d}.log", file.toString()))
+                for piece in fs.listStatus(as_path(f"{logs}/{last}")):
+                    _, found, number = piece.getPath().getName().partition("segment=")
+                    if found:
+                        named += [(f"{int(number):012d}.log", file.getPath().toString()) for file in fs.listStatus(piece.getPath())]
         taken = {status.getPath().getName() for status in fs.listStatus(as_path(folder))}
         for name, _ in named:
             if name in taken:
